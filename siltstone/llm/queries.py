@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import mixing, percentiles
+from siltstone.llm import mixing, neighbours, percentiles
 from siltstone.session import table
 
 GROUPS = ["deployment", "event"]
 
 
+# Problem 1
+
+MIN_SIMILARITY = 0.85
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.nearest(table(spark, d, "chunks"), "id", "embedding", neighbours.Settings(k=5, min_similarity=MIN_SIMILARITY))
+    return neighbours.similar_pairs(near, MIN_SIMILARITY)
+
+
+def p1_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar of all vectors for every vector whose id is divisible by 50."""
+    vectors = table(spark, d, "embeddings")
+    return neighbours.nearest(vectors, "vec_id", "embedding", neighbours.Settings(k=10), vectors.where(F.col("vec_id") % 50 == 0))
+
+
 # Problem 4
 
 
@@ -43,9 +59,20 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(mixing.sized(table(spark, d, "documents")), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p4_event_days, p7_found, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_search, p4_found, p4_percentiles, p4_event_days, p7_found, p7_shares)}
 
 SQL = {
+    "p1_found": """
+WITH v AS (
+  SELECT id, any_value(CAST(embedding AS DOUBLE[])) AS e FROM chunks
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND list_sum(list_transform(embedding, x -> abs(x))) > 0 AND NOT isnan(list_sum(embedding)) GROUP BY id
+), s AS (
+  SELECT a.id, b.id AS other, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id
+), r AS (
+  SELECT id, other, c, row_number() OVER (PARTITION BY id ORDER BY round(c, 6) DESC, other) AS rn FROM s WHERE c >= 0.85
+)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM r WHERE rn <= 5
+""",
     "p4_found": """
 SELECT deployment, event FROM (SELECT DISTINCT * FROM triage_results) WHERE latency_ms >= 0 AND NOT isnan(latency_ms)
 GROUP BY deployment, event HAVING quantile_cont(latency_ms, 0.95) > 3000
