@@ -119,6 +119,7 @@ def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Set
     vectors look for neighbours too, among home and visiting vectors.
     """
     proj = units @ s.directions()
+    rank = np.unique(names, return_inverse=True)[1]  # equal for the visiting and the indexed copy of one vector
     at_home, k, reach0 = np.flatnonzero(home), s.k, s.reach
     chi = chi_square_quantile(1 - s.chi_miss, s.dims)
     depth = min(s.dims - first, max(0, int(math.log2(max(1, len(at_home)) / s.leaf_rows)) if len(at_home) > s.leaf_rows else 0))
@@ -149,7 +150,7 @@ def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Set
                 limit = limit[:, None]
             a, b = np.nonzero(d <= limit * chi + 1e-4)
             a, b = part[a], there[b]
-            different = a != b
+            different = rank[a] != rank[b]
             a, b = a[different], b[different]
             cos = np.einsum("ij,ij->i", units[a], units[b])
             near = cos >= s.min_similarity - 1e-6
@@ -170,7 +171,6 @@ def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Set
         keep = np.arange(len(of)) - np.searchsorted(of, of, side="left") < k
         return of[keep], to[keep], cos[keep]
 
-    rank = np.argsort(np.argsort(names, kind="stable"), kind="stable")
     asking = np.arange(len(units)) if ask_home else np.flatnonzero(~home)
     own_leaf = leaf_of(levels, proj, first)
     # First the own cell: it fixes how far each vector still has to look.

@@ -65,7 +65,7 @@ SQL = {
     "p1_found": """
 WITH v AS (
   SELECT id, any_value(CAST(embedding AS DOUBLE[])) AS e FROM chunks
-  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND list_sum(list_transform(embedding, x -> abs(x))) > 0 AND NOT isnan(list_sum(embedding)) GROUP BY id
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0 AND NOT isnan(list_sum(embedding)) GROUP BY id
 ), s AS (
   SELECT a.id, b.id AS other, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id
 ), r AS (
