@@ -31,7 +31,7 @@ class Settings:
     min_similarity: float = -1.0
     length: int = 64
     dims: int = 16
-    region_rows: int = 20_000
+    region_rows: int = 40_000
     leaf_rows: int = 48
     miss: float = 0.04
     chi_miss: float = 0.02
@@ -55,8 +55,8 @@ def chi_square_quantile(p: float, df: int) -> float:
 
 def _normal_cdf(x: np.ndarray) -> np.ndarray:
     """Zelen and Severo's approximation (fixed values), error below 1e-5."""
-    t = 1 / (1 + 0.33267 * np.abs(x))
-    tail = np.exp(-0.5 * x * x) * 0.3989423 * t * (0.4361836 + t * (-0.1201676 + t * 0.9372980))
+    t = 1 / (1 + np.float32(0.33267) * np.abs(x))
+    tail = np.exp(np.float32(-0.5) * x * x) * (t * np.float32(0.3989423)) * (np.float32(0.4361836) + t * (np.float32(-0.1201676) + t * np.float32(0.9372980)))
     return np.where(x > 0, 1 - tail, tail)
 
 
@@ -89,23 +89,20 @@ def visited(levels: list[np.ndarray], points: np.ndarray, reach: np.ndarray, mis
 
     A vector at distance r differs by N(0, r^2) on each direction, independently,
     so the mass of a leaf is a product over the levels. node_reach[l] may raise the
-    reach towards nodes of level l whose own vectors still look further.
+    reach below nodes of level l whose own vectors still look further. Branches of
+    less than a fiftieth of miss are cut on the way and count as missed.
     """
-    rows, node, mass = np.arange(len(points)), np.zeros(len(points), dtype=np.int64), np.ones(len(points))
+    rows, node, mass = np.arange(len(points)), np.zeros(len(points), dtype=np.int64), np.ones(len(points), dtype=np.float32)
+    least = np.float32(miss / 50)
     for level, cut in enumerate(levels):
-        gap = cut[node] - points[rows, first + level]
-        both = []
-        for side in (0, 1):
-            child = node * 2 + side
-            r = reach[rows] if node_reach is None else np.maximum(reach[rows], node_reach[level][child])
-            z = gap / np.maximum(r, 1e-6)
-            both.append((rows, child, mass * _normal_cdf(z if side == 0 else -z)))
-        rows, node, mass = (np.concatenate(x) for x in zip(*both, strict=True))
-        keep = mass > miss / (1 << len(levels))
-        rows, node, mass = rows[keep], node[keep], mass[keep]
+        r = reach[rows] if node_reach is None else np.maximum(reach[rows], node_reach[level][node])
+        lower = mass * _normal_cdf((cut[node] - points[rows, first + level]) / np.maximum(r, np.float32(1e-6)))
+        upper = mass - lower
+        a, b = lower > least, upper > least
+        rows, node, mass = np.concatenate((rows[a], rows[b])), np.concatenate((node[a] * 2, node[b] * 2 + 1)), np.concatenate((lower[a], upper[b]))
     order = np.lexsort((-mass, rows))
     rows, node, mass = rows[order], node[order], mass[order]
-    total = np.cumsum(mass)
+    total = np.cumsum(mass, dtype=np.float64)
     start = np.searchsorted(rows, rows, side="left")
     before = total - mass - np.where(start > 0, total[np.maximum(start - 1, 0)], 0.0)
     keep = before < 1 - miss
@@ -127,9 +124,12 @@ def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Set
     home_leaf = leaf_of(levels, proj[at_home], first)
     order = np.argsort(home_leaf, kind="stable")
     members, bounds = at_home[order], np.searchsorted(home_leaf[order], np.arange((1 << depth) + 1))
-    square = (proj * proj).sum(1)
+    square, one = (proj * proj).sum(1)[:, None], np.ones((len(proj), 1), dtype=np.float32)
+    left, right = np.hstack((-2 * proj, square, one)), np.hstack((proj, one, square))  # left @ right is the squared distance
     reach = np.full(len(units), reach0, dtype=np.float32)  # falls to the distance of the k-th neighbour found so far
 
+    full_reach = np.ones(len(units), dtype=bool)
+
     def against(rows: np.ndarray, leaves: np.ndarray, own: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         found = []
         order = np.argsort(leaves, kind="stable")
@@ -142,14 +142,13 @@ def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Set
             there = members[bounds[leaf] : bounds[leaf + 1]]
             if not len(there):
                 continue
-            d = square[part][:, None] + square[there][None, :] - 2 * (proj[part] @ proj[there].T)
-            limit = reach[part] ** 2
-            if ask_home:
-                limit = np.maximum(limit[:, None], (reach[there] ** 2)[None, :])
+            d = left[part] @ right[there].T
+            if full_reach[part].all() and full_reach[there].all():
+                at = np.flatnonzero(d.ravel() <= reach0**2 * chi)
             else:
-                limit = limit[:, None]
-            a, b = np.nonzero(d <= limit * chi + 1e-4)
-            a, b = part[a], there[b]
+                limit = (reach[part] ** 2)[:, None]
+                at = np.flatnonzero((d <= (np.maximum(limit, (reach[there] ** 2)[None, :]) if ask_home else limit) * chi + 1e-4).ravel())
+            a, b = part[at // len(there)], there[at % len(there)]
             different = rank[a] != rank[b]
             a, b = a[different], b[different]
             cos = np.einsum("ij,ij->i", units[a], units[b])
@@ -185,12 +184,13 @@ def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Set
         worst = np.full(len(units), 2.0)
         np.minimum.at(worst, of, cos)
         reach[full] = np.minimum(reach0, np.sqrt(np.maximum(0, 2 - 2 * worst[full]))).astype(np.float32)
+        full_reach = ~full
     node_reach = None
     if ask_home and depth:
         leaf_reach = np.zeros(1 << depth, dtype=np.float32)
         np.maximum.at(leaf_reach, home_leaf, reach[at_home])
-        node_reach = [leaf_reach]
-        while len(node_reach[0]) > 2:
+        node_reach = [leaf_reach.reshape(-1, 2).max(1)]
+        while len(node_reach[0]) > 1:
             node_reach.insert(0, node_reach[0].reshape(-1, 2).max(1))
     for start in range(0, len(asking), 4096):
         rows = asking[start : start + 4096]
@@ -208,6 +208,12 @@ def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Set
     return best(*map(np.concatenate, zip(*edges, strict=True)))
 
 
+def _goes(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Of two regions whose vectors may meet, one visits the other: which one alternates over the pairs, so that no region gets all the visitors."""
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    return (own != other) & ((own < other) == ((((low + 1) * 2654435761 ^ (high + 1) * 40503 * 65537) >> 13) % 2 == 0))
+
+
 def unit_rows(vectors: pd.Series, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Which rows hold a usable vector, and those as unit vectors. Null, of another length, all zero, NaN and infinite ones are not usable."""
     right = vectors.map(lambda v: v is not None and len(v) == length).to_numpy(dtype=bool)
@@ -221,18 +227,23 @@ def unit_rows(vectors: pd.Series, length: int) -> tuple[np.ndarray, np.ndarray]:
     return ok, (x[good] / norm[good, None]).astype(np.float32)
 
 
-def _batches(batches: Iterator[pd.DataFrame], s: Settings) -> Iterator[tuple[pd.Series, np.ndarray]]:
-    for pdf in batches:
-        ok, units = unit_rows(pdf["v"], s.length)
-        if ok.any():
-            yield pdf["id"][ok].reset_index(drop=True), units
+def _usable(df: DataFrame, id_col: str, vector_col: str, s: Settings) -> DataFrame:
+    """id, v and a code that is equal for equal vectors; only usable vectors."""
+    v = F.col(vector_col)
+    low, high, limit = F.array_min(v), F.array_max(v), F.lit(float("inf"))
+    # NaN counts as larger than infinity here
+    usable = F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) == s.length) & (F.size(F.array_compact(v)) == s.length)
+    return df.where(usable & (high < limit) & (low > -limit) & ((high != 0) | (low != 0))).select(F.col(id_col).alias("id"), v.alias("v"), F.xxhash64(v).alias("code"))
 
 
-def _heads(ids: pd.Series, units: np.ndarray, k: int) -> np.ndarray:
+def _heads(ids: pd.Series, codes: pd.Series, k: int) -> np.ndarray:
     """Positions of the first k + 1 ids of each group of equal vectors in a batch; more of them can't be anyone's neighbours."""
-    code = np.ascontiguousarray(units.astype(np.float16)).view(f"V{2 * units.shape[1]}").ravel()
-    frame = pd.DataFrame({"id": ids, "code": code.astype(bytes) if code.dtype.kind != "V" else [bytes(c) for c in code]}).drop_duplicates().sort_values("id")
-    return frame.index[frame.groupby("code", sort=False).cumcount() <= k].to_numpy()
+    frame = pd.DataFrame({"id": ids, "code": codes})
+    again = frame["code"].duplicated(keep=False)
+    if not again.any():
+        return frame.index.to_numpy()
+    some = frame[again].drop_duplicates().sort_values("id")
+    return np.concatenate((frame.index[~again], some.index[some.groupby("code", sort=False).cumcount() <= k]))
 
 
 def _region_tree(vectors: DataFrame, s: Settings) -> tuple[list[np.ndarray], int]:
@@ -251,35 +262,37 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, s: Settings, queri
 
     Vectors that are null, of another length, all zero or not finite take no part.
     A repeated id with the same vector counts once. Equal similarities go to the
-    smaller neighbour id. Of equal vectors (as half-precision unit vectors) only the
+    smaller neighbour id. Of equal vectors only the
     first k + 1 ids can be neighbours of others in that group or elsewhere; the rest
     of such a group gets its neighbours from those by a join, so a huge group of
     copies costs no pairs. With min_similarity, less similar ones are left out.
     Empty input gives no rows.
 
-    Plan: each vector goes to its home region once and, as a visitor, to later
-    regions that can hold a vector within reach (each pair of regions meets once,
-    and a meeting serves both vectors); the last shuffle moves at most k rows per
+    Plan: each vector goes to its home region once and, as a visitor, to other
+    regions that can hold a vector within reach (of each pair of regions one visits
+    the other, and a meeting serves both vectors); the last shuffle moves at most k rows per
     vector and region.
     """
-    base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") == s.length))
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") == s.length)) if queries is not None else None
+    base = _usable(vectors, id_col, vector_col, s)
+    asked = _usable(queries, id_col, vector_col, s) if queries is not None else None
     id_type = base.schema["id"].dataType.simpleString()
     levels, depth = _region_tree(base, s)
 
     def place(batches: Iterator[pd.DataFrame], at_home: bool, visiting: bool) -> Iterator[pd.DataFrame]:
         directions = s.directions()
-        for ids, units in _batches(batches, s):
-            heads = _heads(ids, units, s.k) if at_home else np.arange(len(ids))
-            ids, units = ids.iloc[heads].reset_index(drop=True), units[heads]
+        for pdf in batches:
+            if at_home:
+                pdf = pdf.iloc[_heads(pdf["id"], pdf["code"], s.k)]
+            ok, units = unit_rows(pdf["v"], s.length)
+            ids = pdf["id"][ok].reset_index(drop=True)
             proj = units @ directions
             own = leaf_of(levels, proj)
             codes = pd.Series([u.tobytes() for u in units.astype(np.float16)], dtype=object)
             if at_home:
                 yield pd.DataFrame({"region": own, "home": True, "id": ids, "unit": codes})
             if visiting and (depth or not at_home):
-                rows, leaves = visited(levels, proj, np.full(len(units), s.reach), s.miss)
-                go = leaves > own[rows] if at_home else leaves >= 0
+                rows, leaves = visited(levels, proj, np.full(len(units), s.reach, dtype=np.float32), s.miss)
+                go = _goes(own[rows], leaves) if at_home else leaves >= 0
                 rows, leaves = rows[go], leaves[go]
                 yield pd.DataFrame({"region": leaves, "home": False, "id": ids.iloc[rows].to_numpy(), "unit": codes.iloc[rows].to_numpy()})
 
@@ -302,19 +315,14 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, s: Settings, queri
     out_schema = f"id {id_type}, neighbour {id_type}, similarity double"
     edges = placed.groupBy("region").applyInPandas(search, out_schema).where(F.col("id") != F.col("neighbour"))
     if asked is None:
-        edges = edges.unionByName(_copies_beyond(base, s, id_type))
+        edges = edges.unionByName(_copies_beyond(base, s))
     w = Window.partitionBy("id").orderBy(F.round("similarity", 6).desc(), "neighbour")
     return edges.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= s.k)
 
 
-def _copies_beyond(base: DataFrame, s: Settings, id_type: str) -> DataFrame:
+def _copies_beyond(base: DataFrame, s: Settings) -> DataFrame:
     """Neighbours of the members of a group of equal vectors that come after its first k + 1 ids."""
-
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for ids, units in _batches(batches, s):
-            yield pd.DataFrame({"code": [u.tobytes() for u in units.astype(np.float16)], "id": ids})
-
-    members = base.mapInPandas(keys, f"code binary, id {id_type}").select(F.xxhash64("code").alias("code"), "id").distinct()
+    members = base.select("code", "id").distinct()
     large = members.groupBy("code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > s.k + 1).select("code")
     w = Window.partitionBy("code").orderBy("id")
     heads = members.join(large, "code", "left_semi").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= s.k + 1)
