@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import mixing, neighbours, percentiles
+from siltstone.llm import languages, leaks, mixing, neighbours, percentiles
 from siltstone.session import table
 
 GROUPS = ["deployment", "event"]
@@ -47,6 +47,18 @@ def p4_event_days(spark: SparkSession, d: str) -> DataFrame:
     return percentiles.percentiles(percentiles.merged(days, ["event"]))
 
 
+# Problem 6
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_passages(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id").distinct()
+
+
+def p6_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans to remove from each document, and the items they give away."""
+    return leaks.removal_spans(leaks.leaked_passages(table(spark, d, "documents"), table(spark, d, "heldout_items")))
+
+
 # Problem 7
 
 
@@ -59,7 +71,23 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(mixing.sized(table(spark, d, "documents")), targets), targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_search, p4_found, p4_percentiles, p4_event_days, p7_found, p7_shares)}
+# Problem 8
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.label_issues(languages.languages(table(spark, d, "documents")))
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    return languages.languages(table(spark, d, "documents")).select("doc_id", "language", "confidence", "label")
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return languages.segments(docs, languages.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_search, p4_found, p4_percentiles, p4_event_days, p6_found, p6_spans, p7_found, p7_shares, p8_found, p8_languages, p8_segments)}
 
 SQL = {
     "p1_found": """
