@@ -65,10 +65,14 @@ _HEADING = re.compile(r"\s*(?:#+|\*\*|={2,})\s*\S")
 _ADDRESS = re.compile(r"(?:https?://|@|\bwww\.)(?:[\w-]+\.)+([a-z]{2,10})\b", re.I)
 
 
-def sentences(text: str) -> list[tuple[int, int, bool]]:
-    """(start, end, counts) of the sentences; code, log lines, tables, links and tags are blanked out first. A heading or a piece of fewer than four words doesn't count as a sentence."""
+def cleaned(text: str) -> str:
+    """The text with code, log lines, tables, links, tags and speakers' names as blanks."""
     clean = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    clean = _SPEAKER.sub(lambda m: " " * len(m[0]), clean)
+    return _SPEAKER.sub(lambda m: " " * len(m[0]), clean)
+
+
+def sentences(clean: str) -> list[tuple[int, int, bool]]:
+    """(start, end, counts) of the sentences of a cleaned text. A heading or a piece of fewer than four words doesn't count as a sentence."""
     out = []
     for m in _SENTENCE.finditer(clean):
         n = len(_WORDS.findall(m[0]))
@@ -77,9 +81,9 @@ def sentences(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-def clean_piece(text: str, start: int, end: int) -> str:
+def letters(piece: str) -> str:
     """A sentence as the n-grams see it: lower case, only letters, single blanks."""
-    return " " + " ".join(_WORDS.findall(_NOISE.sub(" ", text[start:end]).lower())) + " "
+    return " " + " ".join(_WORDS.findall(piece.lower())) + " "
 
 
 def ngram_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +129,9 @@ def _pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, list[t
     """Cleaned sentences of all texts, their text's number, whether each counts, and their places."""
     pieces, owner, counts, spans = [], [], [], []
     for i, text in enumerate(texts):
-        for a, b, full in sentences(text) if text else []:
-            piece = clean_piece(text, a, b)
+        clean = cleaned(text) if text else ""
+        for a, b, full in sentences(clean):
+            piece = letters(clean[a:b])
             if piece.strip():
                 pieces.append(piece)
                 owner.append(i)
