@@ -105,6 +105,18 @@ def ngram_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(owners)
 
 
+def groups(pieces: list[str], limit: int = 300_000) -> Iterator[slice]:
+    """Runs of pieces of together about limit characters, so that the n-grams of a batch never stand in memory at once."""
+    start = size = 0
+    for i, p in enumerate(pieces):
+        if size and size + len(p) > limit:
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(p)
+    if start < len(pieces):
+        yield slice(start, len(pieces))
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Log-likelihood of each bucket under each language."""
@@ -119,9 +131,10 @@ class LanguageModel:
     def scores(self, pieces: list[str]) -> np.ndarray:
         """Tempered log-likelihoods, pieces x languages."""
         out = np.zeros((len(pieces), len(LANGUAGES)))
-        ids, owner = ngram_ids(pieces)
-        for k in range(len(LANGUAGES)):
-            out[:, k] = np.bincount(owner, weights=self.log_p[ids, k], minlength=len(pieces))
+        for part in groups(pieces):
+            ids, owner = ngram_ids(pieces[part])
+            for k in range(len(LANGUAGES)):
+                out[part, k] = np.bincount(owner, weights=self.log_p[ids, k], minlength=part.stop - part.start)
         return out * TEMPER
 
 
@@ -164,9 +177,11 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", rounds: int =
                     best = scores.argmax(1)
                     margin = scores.max(1) - np.partition(scores, -2, axis=1)[:, -2]
                     label = np.where(margin > 3, best, -1)
-                ids, of = ngram_ids(pieces)
-                known = label[of] >= 0
-                total += np.bincount(label[of][known] * BUCKETS + ids[known], minlength=len(total))
+                for part in groups(pieces):
+                    ids, of = ngram_ids(pieces[part])
+                    at = label[part][of]
+                    cells, n = np.unique((at * BUCKETS + ids)[at >= 0], return_counts=True)
+                    total[cells] += n
             at = np.flatnonzero(total)
             yield pd.DataFrame({"cell": at, "n": total[at]})
 
