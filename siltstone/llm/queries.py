@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import languages, leaks, mixing, neighbours, percentiles
+from siltstone.llm import defects, languages, leaks, mixing, neighbours, percentiles
 from siltstone.session import table
 
 GROUPS = ["deployment", "event"]
+#: Labelled documents that the language model of problem 2 is fitted on, at most.
+LANGUAGE_SAMPLE = 10_000
 
 
 # Problem 1
@@ -27,6 +29,26 @@ def p1_search(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.nearest(vectors, "vec_id", "embedding", neighbours.Settings(k=10), vectors.where(F.col("vec_id") % 50 == 0))
 
 
+# Problem 2
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    results = table(spark, d, "eval_results").select(F.lit("eval_results").alias("src_table"), F.col("result_id").alias("record_id"), "question", F.col("generated_answer").alias("answer"))
+    cases = table(spark, d, "eval_cases").select(F.lit("eval_cases").alias("src_table"), F.col("id").alias("record_id"), "question", F.col("ground_truth_answer").alias("answer"))
+    return results.unionByName(cases)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    # the language model is fitted on a bounded sample of labelled documents
+    labelled = table(spark, d, "documents").select("text", "lang").limit(LANGUAGE_SAMPLE)
+    return defects.defective_pairs(_pairs(spark, d), languages.fit(labelled)).select("src_table", "record_id", "defect")
+
+
+def p2_defects(spark: SparkSession, d: str) -> DataFrame:
+    """Defective pairs per table and type."""
+    return p2_found(spark, d).groupBy("src_table", "defect").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
 # Problem 4
 
 
@@ -87,7 +109,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segments(docs, languages.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_search, p4_found, p4_percentiles, p4_event_days, p6_found, p6_spans, p7_found, p7_shares, p8_found, p8_languages, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_search, p2_found, p2_defects, p4_found, p4_percentiles, p4_event_days, p6_found, p6_spans, p7_found, p7_shares, p8_found, p8_languages, p8_segments)}
 
 SQL = {
     "p1_found": """
