@@ -95,6 +95,17 @@ def _cell(*parts: str, space: int = SPACE) -> int:
     return zlib.crc32("\x1f".join(parts).encode()) % space
 
 
+def _zoned(name: str) -> int:
+    """Words of the answer fill the upper half of the space, the features of language and length the lowest quarter."""
+    if name.startswith("w:"):
+        return SPACE // 2 + _cell(name, space=SPACE // 2)
+    return _cell(name, space=SPACE // 4) + (0 if name.startswith(("lang:", "n:", "bias")) else SPACE // 4)
+
+
+#: Each label sees the cells below this: other defects than refusals don't depend on wording, and language only on language.
+_SEES = {"refusal": SPACE, "other_language": SPACE // 4}
+
+
 @dataclass
 class Corpus:
     """Hashed counts over all finished sentences: words, pairs, and words, pairs and triples that end a sentence."""
@@ -196,7 +207,7 @@ class Features:
             mismatch = a_margin[i] > 0 and q_margin[i] > 1 and LANGUAGES[a_lang[i]] not in (expected, LANGUAGES[q_lang[i]])
             named = self._pair(q, a, mismatch, float(a_margin[i]))
             rows += [i] * len(named)
-            cells += [_cell(k, space=SPACE // 2) + (SPACE // 2 if k.startswith("w:") else 0) for k in named]
+            cells += [_zoned(k) for k in named]
             values += named.values()
         return np.array(rows, dtype=np.int64), np.array(cells, dtype=np.int64), np.array(values, dtype=np.float32)
 
@@ -377,11 +388,12 @@ class Classifier:
 def _train(triples: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, mask: np.ndarray, start: np.ndarray | None = None, rounds: int = 90, l2: float = 2e-5) -> np.ndarray:
     """Logistic regression per label by Adam over the whole (bounded) sample; mask leaves examples out per label. start: weights to go on from.
 
-    Only refusals see the words of the answer; the other defects show in the features of the pair and of the answer's end.
+    Each label sees its zones of the feature space only.
     """
     out = np.zeros((SPACE, y.shape[1]), dtype=np.float32)
     for k in range(y.shape[1]):
-        rows, cells, values = triples if LABELS[k] == "refusal" else (x[triples[1] < SPACE // 2] for x in triples)
+        seen = triples[1] < _SEES.get(LABELS[k], SPACE // 2)
+        rows, cells, values = (x[seen] for x in triples)
         used, at = np.unique(cells, return_inverse=True)
         w = np.zeros(len(used)) if start is None else start[used, k].astype(np.float64)
         m = v = np.zeros(len(used))
