@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import defects, languages, leaks, mixing, neighbours, percentiles
-from siltstone.session import table
+from siltstone.llm import defects, languages, leaks, mixing, neighbours, percentiles, pii
+from siltstone.session import stored, table
 
 GROUPS = ["deployment", "event"]
 #: Labelled documents that the language model of problem 2 is fitted on, at most.
 LANGUAGE_SAMPLE = 10_000
+#: Key of the surrogates in the registered query; users pass their own secret.
+SURROGATE_KEY = "example key"
 
 
 # Problem 1
@@ -49,6 +51,34 @@ def p2_defects(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("src_table", "defect").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+# Problem 3
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    parts = [
+        table(spark, d, name).select(F.lit(name).alias("src_table"), F.col(key).alias("record_id"), F.col(text).alias("text"))
+        for name, key, text in (("kb_docs", "ingest_id", "content"), ("generation_results", "generation_id", "answer"), ("eval_test_results", "result_key", "predicted_answer"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_information(_texts(spark, d)).drop("piece")
+
+
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    """All texts with typed placeholders in place of personal information."""
+    texts = _texts(spark, d).distinct()
+    return pii.replaced(texts, pii.personal_information(texts))
+
+
+def p3_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """All texts with keyed, type-consistent surrogates in place of personal information."""
+    texts = _texts(spark, d).distinct()
+    found = stored(pii.personal_information(texts), "pii")
+    return pii.replaced(texts, found, pii.surrogates(found, SURROGATE_KEY))
+
+
 # Problem 4
 
 
@@ -109,7 +139,7 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segments(docs, languages.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_search, p2_found, p2_defects, p4_found, p4_percentiles, p4_event_days, p6_found, p6_spans, p7_found, p7_shares, p8_found, p8_languages, p8_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_search, p2_found, p2_defects, p3_found, p3_masked, p3_surrogates, p4_found, p4_percentiles, p4_event_days, p6_found, p6_spans, p7_found, p7_shares, p8_found, p8_languages, p8_segments)}
 
 SQL = {
     "p1_found": """
