@@ -80,7 +80,7 @@ _TOKEN = re.compile(rf"[{_UP}]\.(?![^\W\d_])|[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _TITLE = re.compile(rf"(?<![\w-])(?:{'|'.join(TITLES)})\.? (?=[{_UP}])")
 _INTRO = re.compile(rf"(?<!\w)(?:{INTRODUCTIONS}) ?", re.I)
 _KEY = re.compile(rf"[\"'](?:{NAME_KEYS})[\"']\s*:\s*[\"']([^\"'\d]*(?:['’][^\"'\d]+)?)[\"']", re.I)
-_CSV = re.compile(r"(?:^|(?<=[\s]))(\S+(?: \S+){1,3});(?=[^;\n]{6,60};?)", re.M)
+_CSV = re.compile(rf"(?<!\S)((?:[{_UP}]\.|[{_UP}]{{2}}[^\s;.:\d]*,|{_CAP})(?: (?:[{_UP}]\.|{_CAP})){{1,3}});(?=[^;\n]{{6,60}})")
 _CLOSING = re.compile(rf"(?:regards|sincerely|thanks|cheers|trân trọng|tran trong|thân mến|cordialement|grüße|gruß|saludos|atentamente|salam|hormat kami),?\s*\n\s*([^\n,;]+?)\s*(?=\n|$)", re.I)
 _BEFORE = re.compile(rf"(?<![\w-])({_CAP}(?: (?:{_CAP}|[{_UP}]\.)){{1,3}}) (?=asked for|left the number|để lại số|de lai so)")
 
@@ -265,7 +265,7 @@ def find(text: str, model: NameModel) -> list[tuple[str, int, int]]:
         lower = tokens[i][0][0].islower()
         while j < len(tokens) and (j == i or text[tokens[j - 1].end() : tokens[j].start()] in (" ", ", ") and (text[tokens[j - 1].end()] == " " or (j == i + 1 and tokens[i][0].isupper() and len(tokens[i][0]) > 2 and not tokens[j][0].isupper()))):
             w = tokens[j][0]
-            if w[1:2] == "." and j > i:
+            if w[1:2] == ".":
                 j += 1
                 continue
             if w[0].islower() != lower or not model.is_name(w) or (lower and model._known(w)[2] > max(2, model._known(w)[0] // 3)):
@@ -273,7 +273,7 @@ def find(text: str, model: NameModel) -> list[tuple[str, int, int]]:
             strong, j = strong + 1, j + 1
         while j > i and tokens[j - 1][0][1:2] == ".":
             j -= 1
-        if strong >= 2 and j - i <= 4:
+        if strong >= (1 if tokens[i][0][1:2] == "." else 2) and j - i <= 4:
             candidates.append((tokens[i].start(), tokens[j - 1].end()))
             i = j
         else:
@@ -379,7 +379,7 @@ def surrogate(piece: str, kind: str, key: str, attempt: int = 0) -> str:
         return words
     take = _stream(key, kind, entity(piece, kind), str(attempt))
     if kind == "address":
-        piece = _TOKEN.sub(lambda m: surrogate_word(m[0], key, attempt) if m[0][0].isupper() and m.start() and not re.match(rf"(?:Street|St|Road|Lane|Avenue|Ave|Terrace|Close|Drive|Apt|Flat|Suite|Unit|TP|Straße|Jl)$", m[0]) else m[0], piece)
+        piece = _TOKEN.sub(lambda m: surrogate_word(m[0], key, attempt) if m[0][0].isupper() and m.start() and not piece[m.start() - 1].isdigit() and not re.match(rf"(?:Street|St|Road|Lane|Avenue|Ave|Terrace|Close|Drive|Apt|Flat|Suite|Unit|TP|Straße|Jl)$", m[0]) else m[0], piece)
     keep = re.match(r"\(?\+?(?:00)?\d{0,2}", piece).end() if kind == "phone" else 0
     out = []
     for i, c in enumerate(piece):
