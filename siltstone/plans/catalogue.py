@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import references
+from siltstone.plans import evaluation, references, retrieval, telemetry, texts
 
-MODULES = (references,)
+MODULES = (retrieval, texts, evaluation, telemetry, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return references.p5_found(spark, sf_dir)
+    return retrieval.hybrid_rag(spark, sf_dir)
