@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latency_stats(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """n, exact p50, p90, p95, p99 (linear interpolation), mean and max, rounded to 2 digits; null and NaN are left out. For unbounded columns use sketches instead."""
+def latency_stats(df: DataFrame, value: str, by: list[str] | None = None, digits: int = 2) -> DataFrame:
+    """n, exact p50, p90, p95, p99 (linear interpolation), mean and max, rounded; null and NaN are left out. For unbounded columns use sketches instead."""
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).withColumn("_v", v)
     p = F.expr("percentile(_v, array(0.5, 0.9, 0.95, 0.99))")
-    out = (rows.groupBy(*by) if by else rows.groupBy()).agg(F.count(F.lit(1)).alias("n"), p.alias("_p"), F.round(F.avg("_v"), 2).alias("mean"), F.round(F.max("_v"), 2).alias("max"))
-    return out.select(*(by or []), "n", *[F.round(F.col("_p")[i], 2).alias(f"p{q}") for i, q in enumerate((50, 90, 95, 99))], "mean", "max")
+    out = (rows.groupBy(*by) if by else rows.groupBy()).agg(F.count(F.lit(1)).alias("n"), p.alias("_p"), F.round(F.avg("_v"), digits).alias("mean"), F.round(F.max("_v"), digits).alias("max"))
+    return out.select(*(by or []), "n", *[F.round(F.col("_p")[i], digits).alias(f"p{q}") for i, q in enumerate((50, 90, 95, 99))], "mean", "max")
 
 
 def slo(df: DataFrame, good: Column, target: float = 99.5, by: list[str] | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ def _failed():
 
 
 def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return M.latency_stats(_requests(spark, d), "latency_ms", ["deployment"])
+    return M.latency_stats(_requests(spark, d), "latency_ms", ["deployment"], 6)
 
 
 def slo_by_deployment(spark: SparkSession, d: str) -> DataFrame:
@@ -80,8 +80,8 @@ _REQ = "(SELECT DISTINCT correlation_id, deployment, event, latency_ms, ingested
 
 SQL = {
     "latency_percentiles": f"""
-SELECT deployment, count(*)::BIGINT AS n, round(quantile_cont(latency_ms, 0.5), 2) AS p50, round(quantile_cont(latency_ms, 0.9), 2) AS p90, round(quantile_cont(latency_ms, 0.95), 2) AS p95, round(quantile_cont(latency_ms, 0.99), 2) AS p99,
-  round(avg(latency_ms), 2) AS mean, round(max(latency_ms), 2) AS max FROM {_REQ} GROUP BY 1
+SELECT deployment, count(*)::BIGINT AS n, round(quantile_cont(latency_ms, 0.5), 6) AS p50, round(quantile_cont(latency_ms, 0.9), 6) AS p90, round(quantile_cont(latency_ms, 0.95), 6) AS p95, round(quantile_cont(latency_ms, 0.99), 6) AS p99,
+  round(avg(latency_ms), 6) AS mean, round(max(latency_ms), 6) AS max FROM {_REQ} GROUP BY 1
 """,
     "slo_by_deployment": f"""
 SELECT deployment, t AS total, b AS n_bad, round((t - b) * 100.0 / t::DOUBLE, 4) AS sli, a AS allowed_bad, greatest(0, a - b)::BIGINT AS budget_left, round(CASE WHEN a > 0 THEN b / a::DOUBLE ELSE (b > 0)::INTEGER END, 4) AS burn
