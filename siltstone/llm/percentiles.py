@@ -62,15 +62,17 @@ def percentiles(parts: DataFrame, qs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)
 def groups_above(df: DataFrame, by: list[str], value: str, q: float, threshold: float, k: int = K) -> DataFrame:
     """Groups whose exact q-th percentile (linear interpolation) exceeds threshold.
 
-    The sketch's bounds decide most groups; those whose bounds straddle the
-    threshold get an exact check, which needs only counts and the two values next
+    The threshold's rank in the sketch decides most groups; those whose rank is
+    within the error of q get an exact check, which needs only counts and the two values next
     to the threshold, never the group's rows in one place. Group keys may be null.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(usable(F.col("_v")))
     e = rank_error(k)
-    bounds = sketches(rows, by, "_v", k).select(*by, *[F.kll_sketch_get_quantile_double("sketch", F.lit(x)).alias(n) for n, x in (("_low", max(0.0, q - 2 * e)), ("_high", min(1.0, q + 2 * e)))])
-    sure = bounds.where(F.col("_low") > threshold).select(*by)
-    open_ = bounds.where((F.col("_low") <= threshold) & (F.col("_high") >= threshold)).select(*[F.col(c).alias(f"_{c}") for c in by])
+    # the share of values up to the threshold, within the sketch's error and the rank that interpolation may add
+    slack = F.lit(2 * e) + 1.5 / F.col("n")
+    ranks = sketches(rows, by, "_v", k).select(*by, F.kll_sketch_get_rank_double("sketch", F.lit(float(threshold))).alias("_rank"), slack.alias("_slack"))
+    sure = ranks.where(F.col("_rank") < q - F.col("_slack")).select(*by)
+    open_ = ranks.where(F.abs(F.col("_rank") - q) <= F.col("_slack")).select(*[F.col(c).alias(f"_{c}") for c in by])
     same = [rows[c].eqNullSafe(open_[f"_{c}"]) for c in by]
     below, above = F.when(F.col("_v") <= threshold, F.col("_v")), F.when(F.col("_v") > threshold, F.col("_v"))
     at = (F.col("n") - 1) * F.lit(q)
