@@ -69,6 +69,12 @@ def recursive(text: Column, size: int = 500, separators: tuple[str, ...] = SEPAR
     return apply(text)
 
 
+def by_strategy(text: Column, strategy: str, size: int = 500, overlap: int = 50, per_chunk: int = 3) -> Column:
+    """The chunk expression of a named strategy: 'fixed_size', 'by_sentences', 'windows'; any other name means recursive."""
+    made = {"fixed_size": lambda: fixed(text, size, overlap), "by_sentences": lambda: by_sentences(text, per_chunk), "windows": lambda: windows(text, size, overlap)}
+    return made.get(strategy, lambda: recursive(text, size))()
+
+
 def chunk_documents(docs: DataFrame, chunks: Column, id_col: str = "id", text: str = "content", form: str = "_chunk_") -> DataFrame:
     """One row per chunk: id (document id, form, index), parent_doc_id, content, chunk_index, n_chunks; other columns of docs follow where names don't clash.
 

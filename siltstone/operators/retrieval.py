@@ -178,3 +178,10 @@ def ranking_faults(ranked: DataFrame, k: int, methods: tuple[str, ...] | None =
     lists = ranked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("d"))
     whole = lists.select("query_id", F.explode(F.array_compact(F.array(F.when(F.col("n") > max(k, 0), "too_many"), F.when(F.col("d") < F.col("n"), "duplicate_id")))).alias("fault"))
     return rows.unionByName(whole).distinct()
+
+
+def lookup(rows: DataFrame, query: str, category: str = "all", limit: int = 3, title: str = "title", text: str = "content", category_col: str = "category", order: str = "id") -> DataFrame:
+    """The first rows, in order, whose title or text holds the query (case apart) in the category, at most limit (1 to 10)."""
+    needle = F.lit(query.strip().lower())
+    hit = F.contains(F.lower(F.coalesce(title, F.lit(""))), needle) | F.contains(F.lower(F.coalesce(text, F.lit(""))), needle)
+    return rows.where(hit if category == "all" else hit & (F.col(category_col) == category)).orderBy(order).limit(max(1, min(10, limit)))

@@ -104,3 +104,19 @@ def held_breaches(panel_rows: DataFrame, breached: Column, order: str, width_sec
     w = Window.partitionBy("_by").orderBy("_n")
     runs = rows.withColumn("_run", F.col("_n") - F.row_number().over(w)).groupBy("_by", "_run").agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count(F.lit(1)).alias("n_windows"))
     return runs.where(F.col("n_windows") * width_seconds >= hold_seconds).select("run_start", "run_end", "n_windows")
+
+
+def stage_summary(stages: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """n_stages, seconds (sum), n_processed, n_failed, is_failed (any stage failed) of a stage log (stage_name, status, start_time, end_time, records_processed, records_failed)."""
+    return (stages.groupBy(*by) if by else stages.groupBy()).agg(
+        F.count(F.lit(1)).alias("n_stages"), F.round(F.sum((F.unix_micros("end_time") - F.unix_micros("start_time")) / 1e6), 4).alias("seconds"),
+        F.sum("records_processed").alias("n_processed"), F.sum("records_failed").alias("n_failed"), F.coalesce(F.bool_or(F.lower("status") == "failed"), F.lit(False)).alias("is_failed"),
+    )
+
+
+def budget_breaches(logs: DataFrame, ts: str, limits: dict[str, tuple[Column, str, float]]) -> DataFrame:
+    """Days that break a limit: day, name, value, limit. limits: name -> (aggregate over a day's rows, 'max' or 'min', bound)."""
+    daily = logs.groupBy(F.to_date(ts).alias("day")).agg(*[agg.cast("double").alias(name) for name, (agg, _, _) in limits.items()])
+    rows = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value"), F.lit(float(b)).alias("limit"), F.lit(kind).alias("kind")) for n, (_, kind, b) in limits.items()])
+    broken = F.when(F.col("kind") == "max", F.col("value") > F.col("limit")).otherwise(F.col("value") < F.col("limit"))
+    return daily.select("day", F.explode(rows).alias("x")).select("day", "x.*").where(broken).drop("kind")

@@ -5,11 +5,13 @@ Times must be TIMESTAMP: streams refuse watermarks on TIMESTAMP_NTZ, so as_event
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def as_event_time(stream: DataFrame, ts: str, late: str = "10 minutes") -> DataFrame:
@@ -60,3 +62,36 @@ def anomalies(stream: DataFrame, latency: str, failed: Column, threshold: float
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Handles all that is there, batch by batch, and stops; write gets (rows, batch number) and must be repeatable per number."""
     return stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def held_alerts(windows: DataFrame, series: str, at: str, breached: str, width_seconds: int, hold_seconds: int) -> DataFrame:
+    """One alert per run of successive breached windows once it has held hold_seconds: series, run_start, fired_at.
+
+    windows is a stream of finished windows; those of one batch are taken in order,
+    and a window older than the last one seen is left out. A missing window ends a
+    run. The state is three numbers a series.
+    """
+    need = max(1, -(-hold_seconds // width_seconds))
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, last, length = state.get if state.exists else (0, -1, 0)
+        fired = []
+        rows = pd.concat(list(batches)).drop_duplicates("at").sort_values("at")
+        for second, bad in zip(rows["at"].tolist(), rows["bad"].tolist(), strict=True):
+            if second <= last:
+                continue
+            if not bad:
+                length = 0
+            elif length and second == last + width_seconds:
+                length += 1
+            else:
+                start, length = second, 1
+            last = second
+            if length == need:
+                fired.append((key[0], start, second))
+        state.update((start, last, length))
+        yield pd.DataFrame(fired, columns=["series", "start", "fired"])
+
+    rows = windows.select(F.col(series).cast("string").alias("series"), F.unix_seconds(F.col(at).cast("timestamp")).alias("at"), F.coalesce(F.col(breached), F.lit(False)).alias("bad")).where(F.col("at").isNotNull() & F.col("series").isNotNull())
+    out = rows.groupBy("series").applyInPandasWithState(step, "series string, start long, fired long", "start long, last long, length long", "append", GroupStateTimeout.NoTimeout)
+    return out.select("series", F.timestamp_seconds("start").alias("run_start"), F.timestamp_seconds("fired").alias("fired_at"))

@@ -102,3 +102,15 @@ def test_reciprocal_ranks_prefix(spark):
 def test_ranking_faults(spark):
     bad = ranked(spark, [("q", "a", 0.1, 1), ("q", "a", 0.5, 2), ("r", "a", None, 1), ("s", "a", 1.0, 1)])
     assert {(r["query_id"], r["fault"]) for r in R.ranking_faults(bad, 1).collect()} == {("q", "too_many"), ("q", "duplicate_id"), ("q", "not_sorted"), ("r", "bad_score")}
+
+
+def test_lookup_and_rerank(spark):
+    rows = spark.createDataFrame([(2, "Cat", "x", "a"), (1, "dog", "a CAT", "b"), (3, None, None, "a")], "id int, title string, content string, category string")
+    assert [r["id"] for r in R.lookup(rows, " cat ").collect()] == [1, 2] and [r["id"] for r in R.lookup(rows, "cat", "a", 99).collect()] == [2]
+    lists = spark.createDataFrame([("q", "a", 1, "blue sky", "grey sea"), ("q", "b", 2, "blue sky", "sky blue"), ("q", "c", 3, "blue sky", None)], "query_id string, id string, rank int, query_text string, content string")
+    assert [r["id"] for r in R.overlap_rerank(lists).orderBy("rank").collect()] == ["b", "a", "c"]
+
+
+def test_context_blocks(spark):
+    rows = ranked(spark, [("q", "b", 0.5, 2), ("q", "a", 0.9, 1)]).withColumn("content", F.concat(F.lit(" text "), F.col("id")))
+    assert R.context_blocks(rows, F.concat(F.lit("# "), F.col("id"))).first()["context"] == "# a\ntext a\n\n# b\ntext b"

@@ -85,3 +85,13 @@ def test_streams(spark, tmp_path):
     assert run(lambda s: S.block_alerts(s, F.col("bad"), ["id"], 0.4, 2), "block", "update")[0]["id"] in "abcd"
     both = run(lambda s: S.paired(s.where("id = 'a'").select("id", "ts"), s.select("id", "ts", "bad"), "id", "ts"), "pairs")
     assert any(r["started_at"] is not None for r in both)
+
+
+def test_held_alerts(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    rows = [("a", base + dt.timedelta(minutes=m), b) for m, b in ((0, True), (1, True), (2, True), (3, True), (4, False), (5, True), (7, True), (8, True), (9, None))] + [("b", base, True), (None, base, True)]
+    spark.createDataFrame(rows, "s string, at timestamp, bad boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = []
+    stream = S.held_alerts(spark.readStream.schema("s string, at timestamp, bad boolean").parquet(str(tmp_path / "in")), "s", "at", "bad", 60, 180)
+    S.run_available(stream, lambda df, n: got.extend(df.collect()), str(tmp_path / "state")).awaitTermination()
+    assert [(r["series"], r["run_start"].minute, r["fired_at"].minute) for r in got] == [("a", 0, 2)]

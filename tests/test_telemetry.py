@@ -78,3 +78,13 @@ def test_tool_calls(spark):
     df = spark.createDataFrame([("[]", None, True), ('[{"name":"f"}]', "bad json", False), ('[{"name":"f"}]', '[{"name":"f","args":null},{"name":"g"}]', None)], "e string, a string, n boolean")
     s = TC.suite(df.withColumn("grade", TC.graded(F.col("e"), F.col("a"), F.col("n")))).first()
     assert (s["n"], s["pass_rate"], s["extra_call_rate"]) == (3, 0.6667, 0.3333)
+
+
+def test_stages_and_budgets(spark):
+    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    st = spark.createDataFrame([("x", "SUCCESS", t(0), t(1), 5, 0), ("y", "FAILED", t(1), t(3), 4, 2)], "stage_name string, status string, start_time timestamp, end_time timestamp, records_processed long, records_failed long")
+    r = M.stage_summary(st).first()
+    assert (r["n_stages"], r["seconds"], r["n_processed"], r["n_failed"], r["is_failed"]) == (2, 180.0, 9, 2, True)
+    assert M.stage_summary(st.limit(0)).first()["is_failed"] is False
+    got = M.budget_breaches(st, "start_time", {"failed": (F.sum("records_failed"), "max", 1), "rows": (F.sum("records_processed"), "min", 5)}).collect()
+    assert [(x["name"], x["value"]) for x in got] == [("failed", 2.0)]
