@@ -1,7 +1,7 @@
 """Broken prompt and response pairs.
 
 A multi-label linear classifier over hashed n-grams and features of the pair
-(overlap, order of the question's words, language, how an answer ends) flags
+(overlap, the question's first and last words, language, how an answer ends) flags
 empty, truncated, refused and copied answers and answers in another language. It
 is trained on answers of the data itself that are cut, copied, swapped or
 replaced synthetically; each label's threshold is calibrated on held-out pairs.
@@ -12,8 +12,10 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,32 +40,32 @@ PLACEHOLDERS = ("n/a", "na", "none", "null", "nil", "nan", "todo", "tbd", "tba",
 REFUSALS = {
     "en": (
         ("", "", "I'm sorry, but ", "Sorry, ", "Unfortunately, ", "I apologise, but ", "As an AI assistant, ", "Thanks for asking. ", "Thank you for your question. ", "Regrettably, ", "I'm afraid ", "To be honest, ", "For safety reasons, ", "I have to be clear: ", "At this point "),
-        ("I can't help with that request", "I cannot answer this question", "I am unable to assist with this", "I am not able to provide that information", "I won't answer that", "I must decline to answer", "I'm not allowed to discuss this topic", "I'd rather not comment on this", "this is something I can't share", "my guidelines do not permit me to respond", "that is outside of what I may talk about", "we are not permitted to give an answer", "I have to decline", "no answer can be given here", "I don't have enough information to respond", "I will leave this question unanswered", "it is not possible for me to reply", "I do not have permission to answer"),
-        (".", ".", " at this time.", ", as it goes against my rules.", " because nothing was found.", ". Please contact an administrator.", ". Is there anything else I can help with?", ". I hope you understand."),
+        ("I can't help with that request", "I cannot answer this question", "I am unable to assist with this", "I am not able to provide that information", "I won't answer that", "I must decline to answer", "I'm not allowed to discuss this topic", "I'd rather not comment on this", "this is something I can't share", "my guidelines do not permit me to respond", "that is outside of what I may talk about", "we are not permitted to give an answer", "I have to decline", "no answer can be given here", "I don't have enough information to respond", "I will leave this question unanswered", "it is not possible for me to reply", "I do not have permission to answer", "I cannot provide an answer on this matter", "I won't go into this any further", "I must leave this one open", "this isn't something I may talk about", "I don't have sufficient context to answer", "the request goes beyond what I am permitted to do", "no reply can be given from my side", "I would prefer to pass on this one"),
+        (".", ".", " at this time.", ", as it goes against my rules.", " because nothing was found.", ". Please contact an administrator.", ". Is there anything else I can help with?", ". I hope you understand.", ", whatever the case may be.", " and hope for your understanding.", "; please ask whoever is in charge."),
     ),
     "vi": (
         ("", "", "Xin lỗi, ", "Rất tiếc, ", "Tiếc là ", "Cảm ơn bạn đã hỏi. ", "Theo quy định, ", "Là trợ lý ảo, ", "Vì lý do an toàn, ", "Thành thật mà nói, "),
-        ("tôi không thể trả lời câu hỏi này", "tôi không thể hỗ trợ yêu cầu này", "tôi không được phép nói về nội dung này", "tôi xin từ chối trả lời", "tôi buộc phải từ chối", "câu hỏi này nằm ngoài phạm vi của tôi", "tôi chưa được cấp quyền cung cấp thông tin đó", "tôi không có đủ thông tin để trả lời", "tôi đành bỏ qua câu hỏi này", "chúng tôi không thể cung cấp nội dung ấy", "tôi sẽ không bình luận về việc này"),
-        (".", ".", ", mong bạn hiểu cho.", ". Mong bạn thông cảm.", " vì không tìm thấy tài liệu nào.", ". Bạn cần gì khác không?"),
+        ("tôi không thể trả lời câu hỏi này", "tôi không thể hỗ trợ yêu cầu này", "tôi không được phép nói về nội dung này", "tôi xin từ chối trả lời", "tôi buộc phải từ chối", "câu hỏi này nằm ngoài phạm vi của tôi", "tôi chưa được cấp quyền cung cấp thông tin đó", "tôi không có đủ thông tin để trả lời", "tôi đành bỏ qua câu hỏi này", "chúng tôi không thể cung cấp nội dung ấy", "tôi sẽ không bình luận về việc này", "tôi không tiện chia sẻ nội dung này", "tôi không trả lời được câu hỏi ấy", "tôi xin không đi sâu hơn", "tôi không có đủ ngữ cảnh để đưa ra câu trả lời", "nội dung này vượt quá quyền của tôi"),
+        (".", ".", ", mong bạn hiểu cho.", ". Mong bạn thông cảm.", " vì không tìm thấy tài liệu nào.", ". Bạn cần gì khác không?", "; bạn vui lòng hỏi người quản trị.", " trong mọi trường hợp."),
     ),
     "fr": (
         ("", "Désolé, ", "Je suis désolé, mais ", "Malheureusement, ", "Pour des raisons de sécurité, ", "Merci pour votre question. "),
-        ("je ne peux pas répondre à cette demande", "je ne suis pas autorisé à en parler", "il ne m'est pas permis de répondre", "je dois refuser", "aucune réponse n'est possible de ma part", "je préfère ne pas commenter ce sujet", "je n'ai pas le droit de donner cette information", "je ne suis pas en mesure de vous aider"),
+        ("je ne peux pas répondre à cette demande", "je ne suis pas autorisé à en parler", "il ne m'est pas permis de répondre", "je dois refuser", "aucune réponse n'est possible de ma part", "je préfère ne pas commenter ce sujet", "je n'ai pas le droit de donner cette information", "je ne suis pas en mesure de vous aider", "je dois laisser cette question sans réponse", "aucune réponse ne peut être donnée ici"),
         (".", ", merci de votre compréhension.", ". Veuillez contacter l'administrateur."),
     ),
     "de": (
         ("", "Es tut mir leid, aber ", "Leider ", "Aus Sicherheitsgründen: ", "Offen gesagt: ", "Danke für die Frage. "),
-        ("kann ich diese Frage nicht beantworten", "ich kann dabei nicht helfen", "ich darf dazu nichts sagen", "ich muss diese Anfrage ablehnen", "dazu ist mir keine Antwort möglich", "ich möchte mich dazu nicht äußern", "ich bin nicht befugt, darüber zu sprechen"),
+        ("kann ich diese Frage nicht beantworten", "ich kann dabei nicht helfen", "ich darf dazu nichts sagen", "ich muss diese Anfrage ablehnen", "dazu ist mir keine Antwort möglich", "ich möchte mich dazu nicht äußern", "ich bin nicht befugt, darüber zu sprechen", "ich muss die Frage offen lassen", "darüber darf ich keine Auskunft geben"),
         (".", ", bitte um Verständnis.", ". Bitte wenden Sie sich an die Verwaltung."),
     ),
     "es": (
         ("", "Lo siento, pero ", "Lamentablemente, ", "Por motivos de seguridad, ", "Gracias por su pregunta. "),
-        ("no puedo responder a esta solicitud", "no puedo ayudar con eso", "no me está permitido hablar de ello", "debo rechazar la pregunta", "prefiero no comentar este tema", "no estoy autorizado a dar esa información", "no es posible dar una respuesta"),
+        ("no puedo responder a esta solicitud", "no puedo ayudar con eso", "no me está permitido hablar de ello", "debo rechazar la pregunta", "prefiero no comentar este tema", "no estoy autorizado a dar esa información", "no es posible dar una respuesta", "tengo que dejar la pregunta sin contestar", "no puedo facilitar esa información"),
         (".", ", espero que lo entienda.", ". Consulte al administrador."),
     ),
     "id": (
         ("", "Maaf, ", "Mohon maaf, ", "Sayangnya, ", "Demi keamanan, ", "Terima kasih atas pertanyaannya. "),
-        ("saya tidak bisa menjawab pertanyaan ini", "saya tidak dapat membantu permintaan itu", "saya tidak diizinkan membahas hal ini", "saya harus menolak", "saya tidak berwenang memberikan informasi itu", "tidak ada jawaban yang bisa saya berikan", "saya memilih tidak berkomentar"),
+        ("saya tidak bisa menjawab pertanyaan ini", "saya tidak dapat membantu permintaan itu", "saya tidak diizinkan membahas hal ini", "saya harus menolak", "saya tidak berwenang memberikan informasi itu", "tidak ada jawaban yang bisa saya berikan", "saya memilih tidak berkomentar", "informasi seperti itu tidak bisa saya sampaikan", "pertanyaan ini di luar kewenangan saya"),
         (".", ", mohon dimaklumi.", ". Silakan hubungi pengelola."),
     ),
 }
@@ -82,23 +84,45 @@ _PLACEHOLDERS = frozenset(re.sub(r"[\W_]+", " ", x) for x in PLACEHOLDERS)
 _ASKED = {k: re.compile(rf"(?<!\w)(?:{v})(?!\w)") for k, v in ASKED.items()}
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_DIGITS = re.compile(r"\d+")
+_FINISHED = re.compile(r"[^.!?…\n]+(?:[.!?…](?=\S)[^.!?…\n]+)*[.!?…]+")
 _FINAL = re.compile(r"[.!?…。]+[\"'”’»)\]*_`]*\s*$")
 _LIST_LINE = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s+\S")
 _LOG_LINE = re.compile(r"\s*(?:\d{1,2}:\d{2}(?::\d{2})?|\d{4}-\d{2}-\d{2}[T ])\S*\s")
 
 
 def tokens(text: str) -> list[str]:
-    return [re.sub(r"\d+", "0", w) for w in _WORD.findall(text.lower())]
+    return _WORD.findall(_DIGITS.sub("0", text.lower()))
 
 
-def _cell(*parts: str, space: int = SPACE) -> int:
-    return zlib.crc32("\x1f".join(parts).encode()) % space
+@lru_cache(maxsize=1 << 18)
+def _hash(word: str) -> int:
+    return zlib.crc32(word.encode())
 
 
+def _joint(*hashes):
+    """Cell of a word, pair or triple from the hashes of its words; numbers or arrays."""
+    h = hashes[0]
+    for x in hashes[1:]:
+        h = (h * 1000003 + x) & 0xFFFFFFFFFFFF
+    return (h ^ (h >> 17)) % COUNTS
+
+
+def _hashes(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words one after the other, and the list that each belongs to."""
+    lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    flat = np.fromiter((_hash(w) for ws in lists for w in ws), dtype=np.int64, count=int(lengths.sum()))
+    return flat, np.repeat(np.arange(len(lists)), lengths)
+
+
+@lru_cache(maxsize=1 << 18)
+def _cell(name: str, space: int = SPACE) -> int:
+    return zlib.crc32(name.encode()) % space
+
+
+@lru_cache(maxsize=1 << 18)
 def _zoned(name: str) -> int:
-    """Words of the answer fill the upper half of the space, the features of language and length the lowest quarter."""
-    if name.startswith("w:"):
-        return SPACE // 2 + _cell(name, space=SPACE // 2)
+    """The features of language and length fill the lowest quarter of the space; the n-grams of the answer fill the upper half."""
     return _cell(name, space=SPACE // 4) + (0 if name.startswith(("lang:", "n:", "bias")) else SPACE // 4)
 
 
@@ -116,29 +140,30 @@ class Corpus:
     pair_ends: np.ndarray = field(default_factory=lambda: np.zeros(COUNTS, dtype=np.int64))
     asked: np.ndarray = field(default_factory=lambda: np.zeros(COUNTS, dtype=np.int64))
 
-    def add(self, question: str, answer: str) -> None:
-        for w in set(map(folded, tokens(question))):
-            self.asked[_cell(w, space=COUNTS)] += 1
-        clean = prose(answer)
-        for s in re.findall(r"[^.!?…\n]+(?:[.!?…](?=\S)[^.!?…\n]+)*[.!?…]+", clean):
-            ws = tokens(s)
-            for i, w in enumerate(ws):
-                self.words[_cell(w, space=COUNTS)] += 1
-                if i:
-                    self.pairs[_cell(ws[i - 1], w, space=COUNTS)] += 1
-            if ws:
-                self.ends[_cell(ws[-1], space=COUNTS)] += 1
-                if len(ws) > 1:
-                    self.pair_ends[_cell(ws[-2], ws[-1], space=COUNTS)] += 1
-                if len(ws) > 2:
-                    self.pair_ends[_cell(*ws[-3:], space=COUNTS)] += 1
+    def add(self, questions: list[str], answers: list[str]) -> None:
+        flat, _ = _hashes([list(set(map(folded, tokens(q)))) for q in questions])
+        self.asked += np.bincount(_joint(flat), minlength=COUNTS)
+        flat, owner = _hashes([tokens(x) for a in answers for x in _FINISHED.findall(prose(a))])
+        if not len(flat):
+            return
+        same = owner[1:] == owner[:-1]
+        last = np.append(~same, True)
+        self.words += np.bincount(_joint(flat), minlength=COUNTS)
+        self.ends += np.bincount(_joint(flat[last]), minlength=COUNTS)
+        pair = _joint(flat[:-1], flat[1:])
+        self.pairs += np.bincount(pair[same], minlength=COUNTS)
+        self.pair_ends += np.bincount(pair[same & last[1:]], minlength=COUNTS)
+        triple = same[1:] & same[:-1] & last[2:]
+        self.pair_ends += np.bincount(_joint(flat[:-2], flat[1:-1], flat[2:])[triple], minlength=COUNTS)
 
     def rare(self, word: str) -> bool:
-        return self.words[_cell(word, space=COUNTS)] < 3
+        return self.words[_joint(_hash(word))] < 3
 
 
 def prose(text: str) -> str:
     """The answer without code fences, tables, lists and log lines."""
+    if "\n" not in text and "`" not in text and not _LIST_LINE.match(text) and not _LOG_LINE.match(text) and not text.startswith("|"):
+        return text
     text = re.sub(r"```[\s\S]*?(?:```|\Z)", "\n", text)
     return "\n".join(x for x in text.split("\n") if not (_LIST_LINE.match(x) or _LOG_LINE.match(x) or x.lstrip().startswith("|")))
 
@@ -150,8 +175,9 @@ def fit_corpus(pairs: DataFrame) -> Corpus:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = Corpus()
         for pdf in batches:
-            for q, a in zip(pdf["question"].fillna(""), pdf["answer"].fillna(""), strict=True):
-                c.add(q, a)
+            for at in range(0, len(pdf), 2000):
+                part = pdf.iloc[at : at + 2000]
+                c.add(part["question"].fillna("").tolist(), part["answer"].fillna("").tolist())
         for k, name in enumerate(names):
             table = getattr(c, name)
             at = np.flatnonzero(table)
@@ -173,21 +199,19 @@ def expected_language(question: str, own: str) -> str:
     return own
 
 
-def _longest_common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence; b is at most a few times as long as a where it matters."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
-
-
 class Features:
     """Sparse features of pairs: cell numbers and values."""
 
     def __init__(self, corpus: Corpus, model: LanguageModel) -> None:
         self.corpus, self.model = corpus, model
+        self._domain: dict[str, bool] = {}
+
+    def _in_domain(self, word: str) -> bool:
+        """A word known from finished answers and from more than one question."""
+        known = self._domain.get(word)
+        if known is None:
+            known = self._domain[word] = bool(self.corpus.words[_joint(_hash(word))] >= 3 and self.corpus.asked[_joint(_hash(folded(word)))] > 1)
+        return known
 
     def languages(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Best language and its margin per text; margin 0 without enough words."""
@@ -201,17 +225,30 @@ class Features:
         """(row, cell, value) triples."""
         q_lang, q_margin = self.languages(questions)
         a_lang, a_margin = self.languages([prose(a) for a in answers])
-        rows, cells, values = [], [], []
+        rows, cells, values, words = [], [], [], []
         for i, (q, a) in enumerate(zip(questions, answers, strict=True)):
             expected = expected_language(q, LANGUAGES[q_lang[i]])
             mismatch = a_margin[i] > 0 and q_margin[i] > 1 and LANGUAGES[a_lang[i]] not in (expected, LANGUAGES[q_lang[i]])
-            named = self._pair(q, a, mismatch, float(a_margin[i]))
+            named, own = self._pair(q, a, mismatch, float(a_margin[i]))
+            words.append(own)
             rows += [i] * len(named)
             cells += [_zoned(k) for k in named]
             values += named.values()
-        return np.array(rows, dtype=np.int64), np.array(cells, dtype=np.int64), np.array(values, dtype=np.float32)
-
-    def _pair(self, question: str, answer: str, mismatch: bool, margin: float) -> dict[str, float]:
+        parts = [(np.array(rows, dtype=np.int64), np.array(cells, dtype=np.int64), np.array(values, dtype=np.float32))]
+        # the n-grams of the answers' words, weighted by their number
+        flat, owner = _hashes(words)
+        scale = (1 / np.sqrt(np.maximum(4, np.bincount(owner, minlength=len(words))))).astype(np.float32)
+        h, same = flat, np.ones(len(flat), dtype=bool)
+        for size in (1, 2, 3):
+            if size > 1:
+                h = (h[:-1] * 1000003 + flat[size - 1 :]) & 0xFFFFFFFFFFFF if len(h) else h
+                same = owner[: len(h)] == owner[size - 1 :]
+            at = owner[: len(h)][same]
+            parts.append((at, SPACE // 2 + ((h ^ (h >> 19)) % (SPACE // 2))[same], scale[at]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _pair(self, question: str, answer: str, mismatch: bool, margin: float) -> tuple[dict[str, float], list[str]]:
+        """Named features of one pair, without those of the answer's n-grams, and the answer's words."""
         f: dict[str, float] = {"bias": 1.0}
         text = answer.replace("​", "").replace("﻿", "").strip()
         words, asked = tokens(text), tokens(question)
@@ -230,9 +267,9 @@ class Features:
         stripped = text
         if (m := re.match(r"\W*(?:\w+\W+){0,3}?\w+\s*[:：]\s+", text)) and n > 4 and words[:2] != asked[:2]:
             stripped = text[m.end() :]
-        body = tokens(stripped)
+        body = words if stripped is text else tokens(stripped)
         if asked and len(body) <= 2 * len(asked) + 4 and n:
-            common = _longest_common(asked, body)
+            common = sum((Counter(asked) & Counter(body)).values())
             cover_q, cover_a = common / len(asked), common / max(1, len(body))
             lead = sum(w in body[:5] for w in asked[:3]) / min(3, len(asked))
             tail = float(body[-1:] == asked[-1:])
@@ -255,14 +292,8 @@ class Features:
         overlap = len(content & set(plain)) / max(1, min(len(content), len(set(plain))))
         f[f"overlap:{int(overlap * 5)}"] = 1.0
         f[f"speaker:{any(w in SPEAKER for w in words)}:{overlap < 0.34}"] = 1.0
-        domain = sum(c.words[_cell(w, space=COUNTS)] >= 3 and c.asked[_cell(p, space=COUNTS)] > 1 for w, p in zip(words, plain, strict=True)) / max(1, n)
+        domain = sum(self._in_domain(w) for w in words) / max(1, n)
         f[f"domain:{int(domain * 5)}:{overlap < 0.34}"] = 1.0
-        scale = 1.0 / np.sqrt(max(4, n))
-        for size in (1, 2, 3):
-            for k in range(n - size + 1):
-                key = "w:" + " ".join(words[k : k + size])
-                f[key] = f.get(key, 0.0) + scale
-
         # truncated
         last_line = text.rsplit("\n", 1)[-1]
         kind = "code" if text.endswith("```") and text.count("```") % 2 == 0 else "open_code" if text.count("```") % 2 else "table" if last_line.lstrip().startswith("|") else "log" if _LOG_LINE.match(last_line + " ") else "marker" if re.fullmatch(r"\s*(?:[-*•+]|\d+[.)])\s*", last_line) and "\n" in text else "list" if _LIST_LINE.match(last_line) else "prose"
@@ -271,7 +302,7 @@ class Features:
         if kind == "list":
             item = tokens(last_line)
             f[f"item_end:{c.rare(item[-1]) if item else ''}"] = 1.0
-            f[f"item_pair:{len(item) > 1 and c.pairs[_cell(item[-2], item[-1], space=COUNTS)] > 0}"] = 1.0
+            f[f"item_pair:{len(item) > 1 and c.pairs[_joint(_hash(item[-2]), _hash(item[-1]))] > 0}"] = 1.0
             f[f"item_end1:{item[-1] if item and not c.rare(item[-1]) else ''}"] = 1.0
         if kind == "prose" and not stop and n > 6:
             final = "," if re.search(r"[,;:–—-]$", text) else "(" if re.search(r"\([^)]*$", text) or text.count("“") > text.count("”") else ""
@@ -281,16 +312,17 @@ class Features:
             f[f"rare_end:{m0 == '~'}:{w0[:1].isdigit()}"] = 1.0
             raw = re.findall(r"\S+", text)[-1]
             f[f"capital_end:{raw[:1].isupper()}:{m0 == '~'}"] = 1.0
-            p, pe = c.pairs[_cell(w1, w0, space=COUNTS)], c.pair_ends[_cell(w1, w0, space=COUNTS)]
-            u, ue = c.words[_cell(w0, space=COUNTS)], c.ends[_cell(w0, space=COUNTS)]
-            t3 = c.pair_ends[_cell(w2, w1, w0, space=COUNTS)]
+            both = _joint(_hash(w1), _hash(w0))
+            p, pe = c.pairs[both], c.pair_ends[both]
+            u, ue = c.words[_joint(_hash(w0))], c.ends[_joint(_hash(w0))]
+            t3 = c.pair_ends[_joint(_hash(w2), _hash(w1), _hash(w0))]
             f[f"triple_end:{int(min(3, np.log2(1 + t3)))}:{p > 0}"] = 1.0
             f[f"pair_end:{'new' if p == 0 else int(np.clip(np.log((pe + 0.5) / (max(p - pe, 0) + 0.5)), -4, 4))}"] = 1.0
             f[f"word_end:{'new' if u == 0 else int(np.clip(np.log((ue + 0.5) / (max(u - ue, 0) + 0.5)), -4, 4))}"] = 1.0
             f[f"end1:{m0}"] = f[f"end2:{m1} {m0}"] = 1.0
             f[f"before_rare:{m1 if m0 == '~' else ''}"] = 1.0
             f["end3:" + text[-3:].lower()] = 0.5
-        return f
+        return f, words
 
 
 def refusal(rng: random.Random, code: str) -> str:
@@ -315,7 +347,7 @@ def cut(rng: random.Random, answer: str, corpus: Corpus) -> str:
                     piece += " (" + " ".join(answer.split()[:3])
                 elif way > 0.82:
                     piece += ","
-            if _FINAL.search(piece) or (way <= 0.82 and corpus.pair_ends[_cell(*tokens(piece)[-3:], space=COUNTS)]):
+            if _FINAL.search(piece) or (way <= 0.82 and corpus.pair_ends[_joint(*map(_hash, tokens(piece)[-3:]))]):
                 continue
             return piece
     return ""
@@ -341,7 +373,7 @@ def synthetic(pairs: list[tuple[str, str]], languages: list[str], corpus: Corpus
             add(q, cut(rng, a, corpus), "truncated")
             bare = re.sub(r"[.!?…]+\s*$", "", a)
             add(q, bare, None)
-            if rng.random() < 0.3:
+            if rng.random() < 0.5:
                 more = rng.choice(pairs)[1].split()[1:-3]
                 follow = [w for w in more if w.islower() and w.isalpha() and len(w) < 8]
                 if follow:
@@ -349,7 +381,8 @@ def synthetic(pairs: list[tuple[str, str]], languages: list[str], corpus: Corpus
         lines = a.split("\n")
         if len(lines) > 2 and _LIST_LINE.match(lines[-1]) and rng.random() < 0.9:
             marker, item = re.match(r"(\s*\S+\s+)(.*)", lines[-1]).groups()
-            end = rng.choice(("", item[: rng.randrange(1, max(2, len(item) - 2))].rstrip()))
+            inside = [k for k in range(1, len(item)) if item[k - 1].isalnum() and item[k].isalnum()]  # a cut between words might be an item
+            end = item[: rng.choice(inside)] if inside and rng.random() < 0.5 else ""
             if end != item:
                 add(q, "\n".join([*lines[:-1], (marker + end).rstrip()]), "truncated")
         way = rng.random()
@@ -385,13 +418,13 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _train(triples: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, mask: np.ndarray, start: np.ndarray | None = None, rounds: int = 90, l2: float = 2e-5) -> np.ndarray:
-    """Logistic regression per label by Adam over the whole (bounded) sample; mask leaves examples out per label. start: weights to go on from.
+def _train(triples: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, mask: np.ndarray, start: np.ndarray | None = None, labels: tuple[str, ...] = LABELS, rounds: int = 110, l2: float = 2e-5) -> np.ndarray:
+    """Logistic regression per label by Adam over the whole (bounded) sample; mask leaves examples out per label. start: weights to go on from, for labels only.
 
     Each label sees its zones of the feature space only.
     """
-    out = np.zeros((SPACE, y.shape[1]), dtype=np.float32)
-    for k in range(y.shape[1]):
+    out = np.zeros((SPACE, y.shape[1]), dtype=np.float32) if start is None else start.copy()
+    for k in map(LABELS.index, labels):
         seen = triples[1] < _SEES.get(LABELS[k], SPACE // 2)
         rows, cells, values = (x[seen] for x in triples)
         used, at = np.unique(cells, return_inverse=True)
@@ -432,7 +465,7 @@ def fit(pairs: DataFrame, corpus: Corpus, model: LanguageModel, sample: int = SA
         mask[real & (p[:, k] > 0.3), k] = 0  # probably refusals themselves
         sure = real & (p[:, k] > 0.8)
         y[sure, k] = mask[sure, k] = 1  # real wording joins the synthetic one
-        weights = _train(triples, y, np.where(held[:, None], 0, mask), weights, 50)
+        weights = _train(triples, y, np.where(held[:, None], 0, mask), weights, ("refusal",), 50)
     classifier = Classifier(weights, np.full(len(LABELS), 0.5))
     p = classifier.probabilities(triples, len(y))
     for k in range(len(LABELS)):
@@ -442,9 +475,9 @@ def fit(pairs: DataFrame, corpus: Corpus, model: LanguageModel, sample: int = SA
             said, true = p[use, k] > t, y[use, k] > 0
             # a clean pair weighs twice, as in the data clean pairs are far more frequent than here
             scores.append(2 * (said & true).sum() / max(1, 2 * (said & true).sum() + (~said & true).sum() + 2 * (said & ~true).sum()))
-        # real defects score below synthetic ones, so the lowest threshold that is about as good; but real answers do restate their questions, so for copies the highest
+        # of thresholds about as good: the middle where features leave little doubt, else the lowest, as real defects score below synthetic ones (refusals at least one half, as clean answers can share their words)
         good = scale[np.flatnonzero(np.array(scores) >= max(scores) - 0.01)]
-        classifier.thresholds[k] = good[-1] if LABELS[k] == "copy" else min(0.5, good[0])
+        classifier.thresholds[k] = (good[0] + good[-1]) / 2 if LABELS[k] in ("empty", "copy") else max(0.5, good[0]) if LABELS[k] == "refusal" else min(0.5, good[0])
     return classifier
 
 

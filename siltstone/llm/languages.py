@@ -58,6 +58,7 @@ _NOISE = re.compile(
 )
 # the alternatives for whole lines must not run over line ends
 _NOISE = re.compile(_NOISE.pattern.replace(".*?(?:```", "[\\s\\S]*?(?:```"), re.M)
+_MAYBE = re.compile(r"[`<{\[|@=_&]|://|www\.|\d:\d|\d-\d")  # every kind of noise has one of these
 _SPEAKER = re.compile(r"^[ \t]*[^\W\d_]{1,12}:(?=\s)", re.M)
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?…]+[\"'”’»)\]]*(?=\s|$)|$)", re.M)
 _WORDS = re.compile(r"[^\W\d_]{2,}")
@@ -67,7 +68,7 @@ _ADDRESS = re.compile(r"(?:https?://|@|\bwww\.)(?:[\w-]+\.)+([a-z]{2,10})\b", re
 
 def cleaned(text: str) -> str:
     """The text with code, log lines, tables, links, tags and speakers' names as blanks."""
-    clean = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+    clean = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text) if _MAYBE.search(text) else text
     return _SPEAKER.sub(lambda m: " " * len(m[0]), clean)
 
 

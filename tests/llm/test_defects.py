@@ -59,6 +59,3 @@ def test_expected_language():
     assert D.expected_language("Warum? Bitte auf Englisch antworten.", "de") == "en"
     assert D.expected_language("Why is the English list long?", "en") == "en"
 
-
-def test_longest_common():
-    assert D._longest_common("a b c d".split(), "x b d".split()) == 2
