@@ -114,13 +114,18 @@ def p6_spans(spark: SparkSession, d: str) -> DataFrame:
 # Problem 7
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's size; the texts are tokenized once, as several steps need the sizes."""
+    return stored(mixing.sized(table(spark, d, "documents")), "sizes")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.supply(mixing.sized(table(spark, d, "documents")), table(spark, d, "mix_targets")).where("is_short").select("source")
+    return mixing.supply(_sizes(spark, d), table(spark, d, "mix_targets")).where("is_short").select("source")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     targets = table(spark, d, "mix_targets")
-    return mixing.shares(mixing.mix(mixing.sized(table(spark, d, "documents")), targets), targets)
+    return mixing.shares(mixing.mix(_sizes(spark, d), targets), targets)
 
 
 # Problem 8
