@@ -2,7 +2,7 @@
 
 Rows are chosen by the rank of a hash of id and seed, so a plan picks the same rows
 at every run, on every engine and in every partitioning. The k smallest hashes are
-found through a threshold from a counted histogram of hash prefixes, never by one
+found through a threshold from counted histograms of hash prefixes, never by one
 global sort.
 """
 
@@ -16,22 +16,37 @@ def _hash(id_col: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
 
 
+def _kth(df: DataFrame, prefixes: list[Column], order: list[Column], k: int, descending: bool = False) -> list | None:
+    """The values of order in the k-th row; null if there are fewer rows.
+
+    Counts per prefix, level by level, lead to the bucket that holds it, so only that
+    bucket's rows are sorted. Prefixes must sort as the rows do.
+    """
+    rows, left = df, k
+    for p in prefixes:
+        counts = rows.groupBy(p.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("p").desc_nulls_last() if descending else F.col("p").asc_nulls_first()).collect()  # one count per prefix
+        edge = None
+        for r in counts:
+            if left <= r["n"]:
+                edge = r
+                break
+            left -= r["n"]
+        if edge is None:
+            return None
+        rows = rows.where(p.eqNullSafe(F.lit(edge["p"])))
+    forward = [c.desc_nulls_last() if descending else c.asc_nulls_first() for c in order]
+    back = [c.asc_nulls_first() if descending else c.desc_nulls_last() for c in order]
+    named = [c.alias(f"_{i}") for i, c in enumerate(order)]
+    first = rows.orderBy(*forward).limit(left).orderBy(*back).select(*named).first()  # one row
+    return list(first)
+
+
 def _smallest(df: DataFrame, key: Column, k: int, tie: str) -> Column:
     """Condition that holds for the k rows with the smallest (key, tie). key: lower-case hex text, evenly spread."""
     if k <= 0:
         return F.lit(False)
-    keyed = df.select(key.alias("_k"), F.col(tie).alias("_t"))
-    prefix = keyed.groupBy(F.substring("_k", 1, 3).alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect()  # 4096 counts
-    seen, edge = 0, None
-    for r in prefix:
-        if seen + r["n"] >= k:
-            edge = r["p"]
-            break
-        seen += r["n"]
-    if edge is None:
-        return F.lit(True)
-    last = keyed.where(F.substring("_k", 1, 3) == edge).orderBy("_k", "_t").limit(k - seen).orderBy(F.col("_k").desc(), F.col("_t").desc()).first()  # one row
-    return (key < last["_k"]) | ((key == last["_k"]) & (F.col(tie) <= F.lit(last["_t"])))
+    edge = _kth(df, [F.substring(key, 1, 3), F.substring(key, 1, 6)], [key, F.col(tie)], k)
+    return F.lit(True) if edge is None else (key < edge[0]) | ((key == edge[0]) & (F.col(tie) <= F.lit(edge[1])))
 
 
 def sample_condition(df: DataFrame, id_col: str, fraction: float, seed: int) -> Column:
@@ -44,8 +59,8 @@ def drop_latest(df: DataFrame, ts: str, id_col: str, fraction: float = 0.2) -> D
     n = df.count()
     if n <= 4:
         return df
-    k = max(1, int(fraction * n))
-    edge = df.select(ts, id_col).orderBy(F.col(ts).desc_nulls_last(), F.col(id_col).desc()).limit(k).orderBy(F.col(ts).asc_nulls_first(), id_col).first()  # one row of a top-k
+    text = F.col(ts).cast("string")  # sorts as the times do
+    edge = _kth(df, [F.substring(text, 1, 10), F.substring(text, 1, 19)], [F.col(ts), F.col(id_col)], max(1, int(fraction * n)), descending=True)
     if edge[0] is None:
         return df.where(F.col(ts).isNull() & (F.col(id_col) < F.lit(edge[1])))
     return df.where(F.col(ts).isNull() | (F.col(ts) < F.lit(edge[0])) | ((F.col(ts) == F.lit(edge[0])) & (F.col(id_col) < F.lit(edge[1]))))

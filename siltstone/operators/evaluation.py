@@ -126,10 +126,10 @@ def strata(rows: DataFrame, column: str, minima: dict[str, int]) -> DataFrame:
 def judge_biases(scores: DataFrame, order: str = "seq", score: str = "score", answer: str | None = None) -> DataFrame:
     """One row: n, mean_score, is_lenient (mean above 0.85), is_severe (below 0.35), is_positional (first half above the second by more than 0.20, from 4 rows), is_verbose (longer answers above shorter ones by more than 0.25, from 5 rows).
 
-    The halves are told apart by the median of the order column, found without
-    bringing the rows together.
+    order numbers the rows one by one, from whatever number; the first half is the
+    n // 2 lowest. All of it are sums, so the rows never come together.
     """
-    stats = scores.agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile({order}, 0.5)").alias("_mid"), *([F.avg(F.size(split_tokens(F.col(answer)))).alias("_words")] if answer else []))
+    stats = scores.agg((F.min(order) + F.floor(F.count(F.lit(1)) / 2)).alias("_mid"), *([F.avg(F.size(split_tokens(F.col(answer)))).alias("_words")] if answer else []))
     rows = scores.crossJoin(stats)  # one row
     first = F.col(order) < F.col("_mid")
     longer = F.size(split_tokens(F.col(answer))) > F.col("_words") if answer else F.lit(None).cast("boolean")
