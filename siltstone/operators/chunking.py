@@ -22,9 +22,14 @@ def fixed(text: Column, size: int = 500, overlap: int = 50) -> Column:
 
 def by_sentences(text: Column, per_chunk: int = 3) -> Column:
     """Groups of sentences (split after . ! ? and at line ends), joined by blanks."""
-    s = F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+|\n+"), strip), lambda x: x != "")
-    starts = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s), F.lit(per_chunk))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(s, i, F.lit(per_chunk)), " "))
+    split = F.filter(F.transform(F.split(text, r"(?U)(?<=[.!?])\s+|\n+"), strip), lambda x: x != "")
+
+    def grouped(s: Column) -> Column:
+        starts = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s), F.lit(per_chunk))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(s, i, F.lit(per_chunk)), " "))
+
+    # inside an array the sentences are split once, not once for every group
+    return F.transform(F.array(split), grouped)[0]
 
 
 def windows(text: Column, size: int = 500, overlap: int = 50) -> Column:
