@@ -41,8 +41,9 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    # the language model is fitted on a bounded sample of labelled documents
-    labelled = table(spark, d, "documents").select("text", "lang").limit(LANGUAGE_SAMPLE)
+    # the language model is fitted on a bounded sample of documents, drawn from the whole table
+    documents = table(spark, d, "documents").select("text", "lang")
+    labelled = documents.sample(min(1.0, 1.2 * LANGUAGE_SAMPLE / max(1, documents.count())), seed=3).limit(LANGUAGE_SAMPLE)
     return defects.defective_pairs(_pairs(spark, d), languages.fit(labelled)).select("src_table", "record_id", "defect")
 
 
