@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Vectors that fit the region tree: a bounded sample; every vector is indexed.
 SAMPLE = 20_000
+#: (row, cell) pairs looked at in one step, at most: bounds the memory of the way down a deep tree.
+CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -89,11 +91,31 @@ def visited(levels: list[np.ndarray], points: np.ndarray, reach: np.ndarray, mis
 
     A vector at distance r differs by N(0, r^2) on each direction, independently,
     so the mass of a leaf is a product over the levels. node_reach[l] may raise the
-    reach below nodes of level l whose own vectors still look further. Branches of
-    less than a fiftieth of miss are cut on the way and count as missed.
+    reach below nodes of level l whose own vectors still look further. Unlikely
+    branches are cut on the way; rows that lose more than miss by that go down again
+    with a lower bound, at last miss / 2**levels, where all cuts together stay within miss.
     """
+    finest = miss / (1 << len(levels))
+    size = max(1, CELLS >> len(levels))
+    out = [(np.empty(0, dtype=np.int64),) * 2]
+    for start in range(0, len(points), size):
+        rows, least = np.arange(start, min(start + size, len(points))), max(finest, miss / 50)
+        while len(rows):
+            at, leaves, enough = _descend(levels, points[rows], reach[rows], miss, least, first, node_reach)
+            if least > finest:
+                done = enough[at]
+                out.append((rows[at[done]], leaves[done]))
+                rows, least = rows[~enough], max(finest, least / 8)
+            else:
+                out.append((rows[at], leaves))
+                break
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _descend(levels: list[np.ndarray], points: np.ndarray, reach: np.ndarray, miss: float, least: float, first: int, node_reach: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One way down without branches below ``least``: (row, leaf) pairs, and which rows have all but ``miss`` of their mass in them."""
     rows, node, mass = np.arange(len(points)), np.zeros(len(points), dtype=np.int64), np.ones(len(points), dtype=np.float32)
-    least = np.float32(miss / 50)
+    least = np.float32(least)
     for level, cut in enumerate(levels):
         r = reach[rows] if node_reach is None else np.maximum(reach[rows], node_reach[level][node])
         lower = mass * _normal_cdf((cut[node] - points[rows, first + level]) / np.maximum(r, np.float32(1e-6)))
@@ -106,7 +128,7 @@ def visited(levels: list[np.ndarray], points: np.ndarray, reach: np.ndarray, mis
     start = np.searchsorted(rows, rows, side="left")
     before = total - mass - np.where(start > 0, total[np.maximum(start - 1, 0)], 0.0)
     keep = before < 1 - miss
-    return rows[keep], node[keep]
+    return rows[keep], node[keep], np.bincount(rows, weights=mass, minlength=len(points)) >= 1 - miss
 
 
 def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Settings, first: int, ask_home: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,10 +313,14 @@ def nearest(vectors: DataFrame, id_col: str, vector_col: str, s: Settings, queri
             if at_home:
                 yield pd.DataFrame({"region": own, "home": True, "id": ids, "unit": codes})
             if visiting and (depth or not at_home):
-                rows, leaves = visited(levels, proj, np.full(len(units), s.reach, dtype=np.float32), s.miss)
-                go = _goes(own[rows], leaves) if at_home else leaves >= 0
-                rows, leaves = rows[go], leaves[go]
-                yield pd.DataFrame({"region": leaves, "home": False, "id": ids.iloc[rows].to_numpy(), "unit": codes.iloc[rows].to_numpy()})
+                step = max(1, CELLS // 4 >> depth)  # a deep tree may send a vector to thousands of regions
+                for start in range(0, len(units), step):
+                    part = proj[start : start + step]
+                    rows, leaves = visited(levels, part, np.full(len(part), s.reach, dtype=np.float32), s.miss)
+                    rows = rows + start
+                    go = _goes(own[rows], leaves) if at_home else leaves >= 0
+                    rows, leaves = rows[go], leaves[go]
+                    yield pd.DataFrame({"region": leaves, "home": False, "id": ids.iloc[rows].to_numpy(), "unit": codes.iloc[rows].to_numpy()})
 
     schema = f"region bigint, home boolean, id {id_type}, unit binary"
     if asked is None:

@@ -72,3 +72,36 @@ def test_empty_and_single(spark):
 
 def test_chi_square():
     assert abs(nb.chi_square_quantile(0.98, 16) - 29.6) < 0.3
+
+
+def test_visited_cells_hold_the_mass_at_every_depth():
+    rng = np.random.default_rng(3)
+    points = rng.standard_normal((1 << 15, 12)).astype(np.float32)
+    for depth, reach, rows in ((7, 0.55, 400), (9, 2.0, 200), (12, 0.55, 200), (12, 2.0, 100)):
+        levels, asked = nb.fit_tree(points, depth), points[:rows]
+        r, leaves = nb.visited(levels, asked, np.full(rows, reach, dtype=np.float32), 0.04)
+        others = asked[:, None, :] + reach * rng.standard_normal((rows, 200, 12)).astype(np.float32)
+        there = nb.leaf_of(levels, others.reshape(-1, 12)).reshape(rows, 200)
+        seen = np.zeros((rows, 1 << depth), dtype=bool)
+        seen[r, leaves] = True
+        assert len(r) == seen.sum() and seen[np.arange(rows)[:, None], there].mean() >= 0.955
+
+
+def test_visited_is_the_same_in_small_steps(monkeypatch):
+    points = np.random.default_rng(4).standard_normal((3000, 8)).astype(np.float32)
+    levels, reach = nb.fit_tree(points, 8), np.full(300, 1.0, dtype=np.float32)
+    want = set(zip(*map(np.ndarray.tolist, nb.visited(levels, points[:300], reach, 0.04)), strict=True))
+    monkeypatch.setattr(nb, "CELLS", 1 << 10)
+    assert set(zip(*map(np.ndarray.tolist, nb.visited(levels, points[:300], reach, 0.04)), strict=True)) == want
+    none = nb.visited(levels, points[:0], reach[:0], 0.04)
+    assert len(none[0]) == 0 and len(none[1]) == 0
+
+
+def test_recall_with_many_region_levels(spark):
+    x = planted(12000, 1500)
+    near = nb.nearest(frame(spark, x), "id", "embedding", nb.Settings(k=5, min_similarity=0.85, region_rows=100)).collect()
+    u = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.85, 1))
+    want = set(zip(a.tolist(), b.tolist(), strict=True))
+    have = {tuple(sorted((int(r["id"][1:]), int(r["neighbour"][1:])))) for r in near}
+    assert len(have & want) >= 0.97 * len(want) and have <= want
