@@ -1,7 +1,7 @@
 """Broken prompt and response pairs.
 
 A multi-label linear classifier over hashed n-grams and features of the pair
-(overlap, the question's first and last words, language, how an answer ends) flags
+(overlap and order of the question's words, language, how an answer ends) flags
 empty, truncated, refused and copied answers and answers in another language. It
 is trained on answers of the data itself that are cut, copied, swapped or
 replaced synthetically; each label's threshold is calibrated on held-out pairs.
@@ -12,7 +12,6 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -199,6 +198,18 @@ def expected_language(question: str, own: str) -> str:
     return own
 
 
+def _longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, by bits: a zero at place i of row says that the length grows at word i of a."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    whole = row = (1 << len(a)) - 1
+    for y in b:
+        if at := row & places.get(y, 0):
+            row = (row + at | row - at) & whole
+    return len(a) - row.bit_count()
+
+
 class Features:
     """Sparse features of pairs: cell numbers and values."""
 
@@ -269,7 +280,7 @@ class Features:
             stripped = text[m.end() :]
         body = words if stripped is text else tokens(stripped)
         if asked and len(body) <= 2 * len(asked) + 4 and n:
-            common = sum((Counter(asked) & Counter(body)).values())
+            common = _longest_common(asked, body)
             cover_q, cover_a = common / len(asked), common / max(1, len(body))
             lead = sum(w in body[:5] for w in asked[:3]) / min(3, len(asked))
             tail = float(body[-1:] == asked[-1:])
@@ -418,13 +429,13 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _train(triples: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, mask: np.ndarray, start: np.ndarray | None = None, labels: tuple[str, ...] = LABELS, rounds: int = 110, l2: float = 2e-5) -> np.ndarray:
-    """Logistic regression per label by Adam over the whole (bounded) sample; mask leaves examples out per label. start: weights to go on from, for labels only.
+def _train(triples: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, mask: np.ndarray, start: np.ndarray | None = None, rounds: int = 110, l2: float = 2e-5) -> np.ndarray:
+    """Logistic regression per label by Adam over the whole (bounded) sample; mask leaves examples out per label. start: weights to go on from.
 
     Each label sees its zones of the feature space only.
     """
-    out = np.zeros((SPACE, y.shape[1]), dtype=np.float32) if start is None else start.copy()
-    for k in map(LABELS.index, labels):
+    out = np.zeros((SPACE, y.shape[1]), dtype=np.float32)
+    for k in range(y.shape[1]):
         seen = triples[1] < _SEES.get(LABELS[k], SPACE // 2)
         rows, cells, values = (x[seen] for x in triples)
         used, at = np.unique(cells, return_inverse=True)
@@ -465,7 +476,7 @@ def fit(pairs: DataFrame, corpus: Corpus, model: LanguageModel, sample: int = SA
         mask[real & (p[:, k] > 0.3), k] = 0  # probably refusals themselves
         sure = real & (p[:, k] > 0.8)
         y[sure, k] = mask[sure, k] = 1  # real wording joins the synthetic one
-        weights = _train(triples, y, np.where(held[:, None], 0, mask), weights, ("refusal",), 50)
+        weights = _train(triples, y, np.where(held[:, None], 0, mask), weights, 50)
     classifier = Classifier(weights, np.full(len(LABELS), 0.5))
     p = classifier.probabilities(triples, len(y))
     for k in range(len(LABELS)):

@@ -59,3 +59,38 @@ def test_expected_language():
     assert D.expected_language("Warum? Bitte auf Englisch antworten.", "de") == "en"
     assert D.expected_language("Why is the English list long?", "en") == "en"
 
+
+
+def test_longest_common():
+    assert D._longest_common("a b c d".split(), "x b d".split()) == 2
+    assert D._longest_common([], ["a"]) == D._longest_common(["a"], []) == 0
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = (rng.choices("abcde", k=rng.randrange(90)) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        assert D._longest_common(a, b) == row[-1]
+
+
+def test_the_order_of_the_words_counts():
+    q, features = "Is the cache older than the index?", D.Features(D.Corpus(), None)
+    copied, answered = (features._pair(q, a, False, 0.0)[0] for a in (q, "The index is older than the cache."))
+    assert copied["whole"] == 1 and answered["whole"] == 0 and "cq:5" in answered and "ca:5" in answered
+
+
+def test_later_rounds_train_every_label(spark, fitted, monkeypatch):
+    seen, train = [], D._train
+
+    def spy(triples, y, mask, start=None, *more):
+        out = train(triples, y, mask, start, *more)
+        if start is not None:
+            seen.append((out != start).any(0).all())
+        return out
+
+    monkeypatch.setattr(D, "_train", spy)
+    pairs = spark.createDataFrame(fitted[0][:200], "question string, answer string")
+    D.fit(pairs, D.fit_corpus(pairs), fitted[1])
+    assert seen == [True, True]
