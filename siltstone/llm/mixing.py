@@ -121,3 +121,14 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     total = got.agg(F.sum("tokens").alias("total"))
     out = targets.select("source", "target_share").join(got, "source", "left").crossJoin(total)  # one row
     return out.select("source", "target_share", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("share"), F.coalesce("repeats", F.lit(0)).alias("repeats"))
+
+
+def short(sizes: DataFrame, targets: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Sources of targets that the mix leaves below their wanted tokens: source, wanted, given, blocks (slots of the schedule that hold some of it).
+
+    A source that can give enough is placed until its share is reached, so only
+    short ones end below it; supply checks them exactly.
+    """
+    got = mix(sizes, targets, slots).groupBy("source").agg(F.sum("tokens").alias("given"), F.count_distinct("slot").alias("blocks"))
+    out = supply(sizes, targets).join(got, "source", "left").where((F.coalesce("given", F.lit(0)) < F.col("wanted") - 1e-6) & F.col("is_short"))
+    return out.select("source", "wanted", F.coalesce("given", F.lit(0)).alias("given"), F.coalesce("blocks", F.lit(0)).alias("blocks"))

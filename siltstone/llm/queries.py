@@ -121,7 +121,7 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.supply(_sizes(spark, d), table(spark, d, "mix_targets")).where("is_short").select("source")
+    return mixing.short(_sizes(spark, d), table(spark, d, "mix_targets")).select("source")
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from siltstone.llm import mixing as M
+from siltstone.llm import queries as Q
 from siltstone.llm.tokens import token_count
 
 
@@ -61,3 +62,15 @@ def test_empty(spark):
 def test_tokens(spark):
     rows = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",)], "t string").select(token_count(F.col("t")).alias("n")).collect()
     assert [r["n"] for r in rows][:3] == [2, 0, 0] and rows[3]["n"] > 1
+
+
+def test_short_sources_come_from_the_schedule(spark, monkeypatch):
+    _, sizes, targets = data(spark)
+    planned, plan = [], M.schedule
+    monkeypatch.setattr(M, "schedule", lambda weights, slots: planned.append(set(weights)) or plan(weights, slots))
+    monkeypatch.setattr(Q, "_sizes", lambda spark, d: sizes)
+    monkeypatch.setattr(Q, "table", lambda spark, d, name: targets)
+    assert {r["source"] for r in Q.p7_found(spark, "").collect()} == {"small", "absent"} and planned == [{"big", "mid", "small"}]
+    got = {r["source"]: r for r in M.short(sizes, targets, 50).collect()}
+    assert got["small"]["given"] == 2 * 70 and got["small"]["blocks"] > 1 and got["absent"]["blocks"] == 0
+    assert M.short(sizes.limit(0), targets).count() == 0 and M.short(sizes, targets.limit(0)).count() == 0
