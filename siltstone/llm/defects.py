@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.languages import LANGUAGES, LanguageModel, cleaned, letters
 from siltstone.llm.words import folded
+from siltstone.session import drawn
 
 LABELS = ("empty", "refusal", "copy", "other_language", "truncated")
 #: Size of the hashed feature space.
@@ -456,7 +457,7 @@ def _train(triples: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, ma
 def fit(pairs: DataFrame, corpus: Corpus, model: LanguageModel, sample: int = SAMPLE, seed: int = 5) -> Classifier:
     """Fits on at most ``sample`` pairs: theirs count as clean, except that a second round drops those that the first one flags."""
     n = pairs.count()
-    rows = [(r["question"] or "", r["answer"] or "") for r in pairs.select("question", "answer").sample(min(1.0, 1.3 * sample / max(1, n)), seed=seed).limit(sample).collect()]  # at most sample rows
+    rows = [(r["question"] or "", r["answer"] or "") for r in drawn(pairs.select("question", "answer"), sample, n, seed).collect()]  # at most sample rows
     if not rows:
         return Classifier(np.zeros((SPACE, len(LABELS)), dtype=np.float32), np.full(len(LABELS), 0.5))
     features = Features(corpus, model)

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import drawn
+
 #: Vectors that fit the region tree: a bounded sample; every vector is indexed.
 SAMPLE = 20_000
 #: (row, cell) pairs looked at in one step, at most: bounds the memory of the way down a deep tree.
@@ -274,7 +276,7 @@ def _region_tree(vectors: DataFrame, s: Settings) -> tuple[list[np.ndarray], int
     depth = max(0, min(s.dims - 4, math.ceil(math.log2(max(1, n / s.region_rows)))))
     if not depth:
         return [], 0
-    sample = vectors.sample(min(1.0, 1.2 * SAMPLE / n), seed=s.seed).limit(SAMPLE).toPandas()
+    sample = drawn(vectors, SAMPLE, n, s.seed).toPandas()
     _, units = unit_rows(sample["v"], s.length)
     return fit_tree(units @ s.directions(), depth), depth
 

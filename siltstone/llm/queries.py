@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import defects, languages, leaks, mixing, neighbours, percentiles, pii
-from siltstone.session import stored, table
+from siltstone.session import drawn, stored, table
 
 GROUPS = ["deployment", "event"]
 #: Labelled documents that the language model of problem 2 is fitted on, at most.
@@ -43,7 +43,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     # the language model is fitted on a bounded sample of documents, drawn from the whole table
     documents = table(spark, d, "documents").select("text", "lang")
-    labelled = documents.sample(min(1.0, 1.2 * LANGUAGE_SAMPLE / max(1, documents.count())), seed=3).limit(LANGUAGE_SAMPLE)
+    labelled = drawn(documents, LANGUAGE_SAMPLE, documents.count(), seed=3)
     return defects.defective_pairs(_pairs(spark, d), languages.fit(labelled)).select("src_table", "record_id", "defect")
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -48,3 +49,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drawn(df: DataFrame, rows: int, total: int, seed: int) -> DataFrame:
+    """At most ``rows`` rows of df, which has ``total``, each with the same chance: more are drawn, and the limit takes them in a random order, not in that of the partitions."""
+    more = df.sample(min(1.0, 1.3 * rows / max(1, total)), seed=seed)
+    return more.withColumn("_order", F.rand(seed + 1)).orderBy("_order").limit(rows).drop("_order")
