@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators import telemetry as M
-from siltstone.session import shared_dir, table
+from siltstone.session import shared_path, table
 from siltstone.streaming import operators as S
 
 
@@ -66,7 +64,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """The events as a stream: replays left out, rows and errors per day in append mode, written window by window and read back."""
     schema = table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")  # a file or a folder
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = shared_path(spark, "stream")
     rates = S.windowed_rates(stream, "ts", F.col("event_type") == "error", "1 day", late="0 seconds")
     # complete mode: a finite replay ends before the last watermark has closed its windows
     query = rates.writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -30,13 +32,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folder of a local session that names none, made once per process (tests and the benchmark on one machine).
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session; a fresh local one only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a session on one machine gets a folder of its own, which goes
+    when the process ends; on a cluster a missing setting is an error, as executors
+    don't see each other's disks.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spark-siltstone-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-siltstone-")
+        atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
+    return "file://" + _LOCAL["dir"]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; its files are deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -46,12 +69,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     that a result that is read more than once is computed once. Parquet keeps it
     far smaller than an RDD checkpoint.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drawn(df: DataFrame, rows: int, total: int, seed: int) -> DataFrame:
-    """At most ``rows`` rows of df, which has ``total``, each with the same chance: more are drawn, and the limit takes them in a random order, not in that of the partitions."""
-    more = df.sample(min(1.0, 1.3 * rows / max(1, total)), seed=seed)
-    return more.withColumn("_order", F.rand(seed + 1)).orderBy("_order").limit(rows).drop("_order")
+    """At most ``rows`` distinct rows of df, which has ``total``: those with the smallest hashes of seed and all columns.
+
+    The choice is spread over the whole table and the same in every partitioning and
+    order. Repeated rows count once, so a table of mostly repeated rows may give
+    fewer. Rows whose hash is far too large are left out before anything moves.
+    Columns must not be maps.
+    """
+    hashed = df.withColumn("_order", F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in df.columns]))
+    share = 1.5 * rows / max(1, total)
+    if share < 1:
+        hashed = hashed.where(F.col("_order") < F.lit(int(share * 2.0**64) - 2**63))
+    return hashed.dropDuplicates(["_order"]).orderBy("_order").limit(rows).drop("_order")
