@@ -9,12 +9,14 @@ replaced synthetically; each label's threshold is calibrated on held-out pairs.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -32,6 +34,10 @@ SPACE = 1 << 16
 SAMPLE = 4_000
 #: Hashed word and word-pair counts of the corpus.
 COUNTS = 1 << 18
+#: Lowest threshold tried for a label; 0.3 for the others. Clean answers can share the words of refusals.
+RANGE = {"refusal": 0.5}
+#: Pairs that are looked at together in a task.
+BATCH = 2_000
 
 #: What stands in the place of an answer.
 PLACEHOLDERS = ("n/a", "na", "none", "null", "nil", "nan", "todo", "tbd", "tba", "empty", "answer", "response", "placeholder", "no answer", "not available", "undefined", "unknown", "xxx", "lorem ipsum", "câu trả lời", "trả lời", "réponse", "antwort", "respuesta", "jawaban", "insert answer here", "your answer here", "pending")
@@ -84,18 +90,30 @@ _PLACEHOLDERS = frozenset(re.sub(r"[\W_]+", " ", x) for x in PLACEHOLDERS)
 _ASKED = {k: re.compile(rf"(?<!\w)(?:{v})(?!\w)") for k, v in ASKED.items()}
 
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_MARKED = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?…]+(?!\S)|\n")
 _DIGITS = re.compile(r"\d+")
-_FINISHED = re.compile(r"[^.!?…\n]+(?:[.!?…](?=\S)[^.!?…\n]+)*[.!?…]+")
-_FINAL = re.compile(r"[.!?…。]+[\"'”’»)\]*_`]*\s*$")
+_CLOSERS = "\"'”’»)]*_`"
+_FINISH = ".!?…。"
 _LIST_LINE = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s+\S")
 _LOG_LINE = re.compile(r"\s*(?:\d{1,2}:\d{2}(?::\d{2})?|\d{4}-\d{2}-\d{2}[T ])\S*\s")
+_MARKER = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s*")
+_LEAD_IN = re.compile(r"\W*(?:\w+\W+){0,3}?\w+\s*[:：]\s+")
+_WRAPPED = re.compile(r"[\[<({].*[\]>)}]")
+_LABEL = re.compile(r"\w+\s*:")
+_WANTS = re.compile(r"reply|answer|respond|write|trả lời|tra loi|viết|viet|répond|réponse|écri|antwort|beantwort|schreib|respond|contest|responda|escrib|jawab|tulis|balas|\bin\b|\bauf\b|\ben\b|\bbằng\b|\bbang\b|dalam")
+#: Words and questions that a task keeps the properties of, at most; then it starts anew.
+KEPT = 1 << 18
 
 
 def tokens(text: str) -> list[str]:
     return _WORD.findall(_DIGITS.sub("0", text.lower()))
 
 
-@lru_cache(maxsize=1 << 18)
+def is_finished(text: str) -> bool:
+    """Ends with a full stop or the like, whatever brackets and quotes close after it."""
+    return text.rstrip().rstrip(_CLOSERS).endswith(tuple(_FINISH))
+
+
 def _hash(word: str) -> int:
     return zlib.crc32(word.encode())
 
@@ -108,28 +126,57 @@ def _joint(*hashes):
     return (h ^ (h >> 17)) % COUNTS
 
 
-def _hashes(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words one after the other, and the list that each belongs to."""
-    lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    flat = np.fromiter((_hash(w) for ws in lists for w in ws), dtype=np.int64, count=int(lengths.sum()))
-    return flat, np.repeat(np.arange(len(lists)), lengths)
+class _Numbered(dict):
+    """Numbers its keys as they come."""
 
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
 
-@lru_cache(maxsize=1 << 18)
-def _cell(name: str, space: int = SPACE) -> int:
-    return zlib.crc32(name.encode()) % space
 
+class Words:
+    """Words by number, with what is known of each: hash, hash of the folded form, and whether it is a mark that ends (1) or breaks (2) a sentence."""
 
-@lru_cache(maxsize=1 << 18)
-def _zoned(name: str) -> int:
-    """The features of language and length fill the lowest quarter of the space; the n-grams of the answer fill the upper half."""
-    return _cell(name, space=SPACE // 4) + (0 if name.startswith(("lang:", "n:", "bias")) else SPACE // 4)
+    def __init__(self) -> None:
+        self.number = _Numbered()
+        self.hash = self.plain = np.empty(0, dtype=np.int64)
+        self.mark = np.empty(0, dtype=np.int8)
+        self.speaks = self.long = np.empty(0, dtype=bool)
+
+    def full(self) -> bool:
+        return len(self.number) > KEPT
+
+    def of(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words one after the other, and the list that each belongs to."""
+        lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        flat = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(lengths.sum()))
+        if len(self.number) > len(self.hash):
+            new = list(islice(self.number, len(self.hash), None))
+            more = lambda old, values, kind: np.append(old, np.array(values, dtype=kind))
+            self.hash = more(self.hash, [_hash(w) for w in new], np.int64)
+            self.plain = more(self.plain, [_hash(folded(w)) for w in new], np.int64)
+            self.mark = more(self.mark, [2 if w == "\n" else int(w[0] in ".!?…") for w in new], np.int8)
+            self.speaks = more(self.speaks, [w in SPEAKER for w in new], bool)
+            self.long = more(self.long, [len(w) > 2 for w in new], bool)
+        return flat, np.repeat(np.arange(len(lists)), lengths)
 
 
 #: Each label sees the cells below this: other defects than refusals don't depend on wording, and language only on language.
 _SEES = {"refusal": SPACE, "other_language": SPACE // 4}
 
 
+@lru_cache(maxsize=1 << 17)
+def _zoned(name: str) -> int:
+    """The features of language and length fill the lowest quarter of the space; the n-grams of the answer fill the upper half."""
+    return zlib.crc32(name.encode()) % (SPACE // 4) + (0 if name.startswith(("lang:", "n:", "bias")) else SPACE // 4)
+
+
+@lru_cache(maxsize=64)
+def _cells(group: str, n: int) -> np.ndarray:
+    """Cells of a feature with n values."""
+    return np.array([_zoned(f"{group}:{i}") for i in range(n)], dtype=np.int64)
+
+
 @dataclass
 class Corpus:
     """Hashed counts over all finished sentences: words, pairs, and words, pairs and triples that end a sentence."""
@@ -139,45 +186,63 @@ class Corpus:
     pairs: np.ndarray = field(default_factory=lambda: np.zeros(COUNTS, dtype=np.int64))
     pair_ends: np.ndarray = field(default_factory=lambda: np.zeros(COUNTS, dtype=np.int64))
     asked: np.ndarray = field(default_factory=lambda: np.zeros(COUNTS, dtype=np.int64))
-
-    def add(self, questions: list[str], answers: list[str]) -> None:
-        flat, _ = _hashes([list(set(map(folded, tokens(q)))) for q in questions])
-        self.asked += np.bincount(_joint(flat), minlength=COUNTS)
-        flat, owner = _hashes([tokens(x) for a in answers for x in _FINISHED.findall(prose(a))])
-        if not len(flat):
+    whole: np.ndarray = field(default_factory=lambda: np.zeros(COUNTS, dtype=np.int64))
+
+    def add(self, questions: list[str], answers: list[str], known: Words | None = None) -> None:
+        known = known or Words()
+        flat, owner = known.of([tokens(q) for q in questions])
+        if len(flat):
+            once = np.unique((owner << 32) | known.plain[flat]) & 0xFFFFFFFF
+            self.asked += np.bincount(_joint(once), minlength=COUNTS)
+        short = [bare(a) for a in answers if len(a) < 80]
+        self.whole += np.bincount(_joint(np.array([_hash(x) for x in short if x], dtype=np.int64)), minlength=COUNTS)
+        flat, _ = known.of([_MARKED.findall(_DIGITS.sub("0", "\n".join(map(prose, answers)).lower()) + "\n")])
+        mark = known.mark[flat]
+        closed = mark[mark > 0] == 1  # per sentence, whether it is finished
+        sentence, is_word = np.cumsum(mark > 0), mark == 0
+        use = np.flatnonzero(is_word)[closed[sentence[is_word]]]
+        if not len(use):
             return
+        h, owner = known.hash[flat[use]], sentence[use]
         same = owner[1:] == owner[:-1]
         last = np.append(~same, True)
-        self.words += np.bincount(_joint(flat), minlength=COUNTS)
-        self.ends += np.bincount(_joint(flat[last]), minlength=COUNTS)
-        pair = _joint(flat[:-1], flat[1:])
+        self.words += np.bincount(_joint(h), minlength=COUNTS)
+        self.ends += np.bincount(_joint(h[last]), minlength=COUNTS)
+        pair = _joint(h[:-1], h[1:])
         self.pairs += np.bincount(pair[same], minlength=COUNTS)
         self.pair_ends += np.bincount(pair[same & last[1:]], minlength=COUNTS)
         triple = same[1:] & same[:-1] & last[2:]
-        self.pair_ends += np.bincount(_joint(flat[:-2], flat[1:-1], flat[2:])[triple], minlength=COUNTS)
+        self.pair_ends += np.bincount(_joint(h[:-2], h[1:-1], h[2:])[triple], minlength=COUNTS)
 
     def rare(self, word: str) -> bool:
         return self.words[_joint(_hash(word))] < 3
 
 
+def bare(text: str) -> str:
+    """Words and blanks of a text in lower case, as placeholders compare."""
+    return re.sub(r"[\W_]+", " ", text.lower()).strip()
+
+
 def prose(text: str) -> str:
     """The answer without code fences, tables, lists and log lines."""
-    if "\n" not in text and "`" not in text and not _LIST_LINE.match(text) and not _LOG_LINE.match(text) and not text.startswith("|"):
+    if "\n" not in text and "`" not in text and (text[:1].isalpha() or not (_LIST_LINE.match(text) or _LOG_LINE.match(text) or text.startswith("|"))):
         return text
     text = re.sub(r"```[\s\S]*?(?:```|\Z)", "\n", text)
     return "\n".join(x for x in text.split("\n") if not (_LIST_LINE.match(x) or _LOG_LINE.match(x) or x.lstrip().startswith("|")))
 
 
 def fit_corpus(pairs: DataFrame) -> Corpus:
-    """Counts over all pairs; the driver gets at most five tables of COUNTS numbers."""
+    """Counts over all pairs; the driver gets at most six tables of COUNTS numbers."""
     names = list(Corpus.__dataclass_fields__)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = Corpus()
+        c, known = Corpus(), Words()
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at : at + 2000]
-                c.add(part["question"].fillna("").tolist(), part["answer"].fillna("").tolist())
+            for at in range(0, len(pdf), BATCH):
+                part = pdf.iloc[at : at + BATCH]
+                c.add(part["question"].fillna("").tolist(), part["answer"].fillna("").tolist(), known)
+                if known.full():
+                    known = Words()
         for k, name in enumerate(names):
             table = getattr(c, name)
             at = np.flatnonzero(table)
@@ -192,16 +257,16 @@ def fit_corpus(pairs: DataFrame) -> Corpus:
 def expected_language(question: str, own: str) -> str:
     """The language an answer should be in: one that the question asks for, else the question's own."""
     low = question.lower()
-    if re.search(r"reply|answer|respond|write|trả lời|tra loi|viết|viet|répond|réponse|écri|antwort|beantwort|schreib|respond|contest|responda|escrib|jawab|tulis|balas|\bin\b|\bauf\b|\ben\b|\bbằng\b|\bbang\b|dalam", low):
+    if _WANTS.search(low):
         for code, pattern in _ASKED.items():
             if pattern.search(low):
                 return code
     return own
 
 
-def _longest_common(a: list[str], b: list[str]) -> int:
+def _longest_common(a: list, b: list) -> int:
     """Length of the longest common subsequence, by bits: a zero at place i of row says that the length grows at word i of a."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
     whole = row = (1 << len(a)) - 1
@@ -211,130 +276,190 @@ def _longest_common(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+@dataclass
+class Sparse:
+    """Features as (row, cell, value) triples in the order of the rows; those from ``wording`` on are the answers' n-grams."""
+
+    rows: np.ndarray
+    cells: np.ndarray
+    values: np.ndarray
+    wording: int
+
+
 class Features:
-    """Sparse features of pairs: cell numbers and values."""
+    """Sparse features of pairs."""
 
     def __init__(self, corpus: Corpus, model: LanguageModel) -> None:
         self.corpus, self.model = corpus, model
-        self._domain: dict[str, bool] = {}
-
-    def _in_domain(self, word: str) -> bool:
-        """A word known from finished answers and from more than one question."""
-        known = self._domain.get(word)
-        if known is None:
-            known = self._domain[word] = bool(self.corpus.words[_joint(_hash(word))] >= 3 and self.corpus.asked[_joint(_hash(folded(word)))] > 1)
-        return known
+        self.words, self.questions = Words(), {}
 
     def languages(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Best language and its margin per text; margin 0 without enough words."""
         pieces = [letters(cleaned(t)) for t in texts]
         scores = self.model.scores(pieces)
-        top = np.sort(scores, axis=1)
-        margin = np.where([len(p.split()) >= 4 for p in pieces], top[:, -1] - top[:, -2], 0.0)
+        top = np.partition(scores, -2, axis=1) if len(scores) else scores
+        margin = np.where([p.count(" ") > 4 for p in pieces], top[:, -1] - top[:, -2], 0.0)
         return scores.argmax(1), margin
 
-    def of(self, questions: list[str], answers: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell, value) triples."""
-        q_lang, q_margin = self.languages(questions)
+    def _asked(self, questions: list[str]) -> list[tuple]:
+        """Per question: tokens, best language, its margin, expected language. A question is looked at once."""
+        if len(self.questions) > KEPT // 8:
+            self.questions = {}
+        new = [q for q in dict.fromkeys(questions) if q not in self.questions]
+        if new:
+            best, margin = self.languages(new)
+            for q, k, m in zip(new, best.tolist(), margin.tolist(), strict=True):
+                self.questions[q] = (tokens(q), k, m, LANGUAGES.index(expected_language(q, LANGUAGES[k])))
+        return [self.questions[q] for q in questions]
+
+    def of(self, questions: list[str], answers: list[str]) -> Sparse:
+        if self.words.full():
+            self.words = Words()
+        n_rows, rows = len(questions), np.arange(len(questions))
+        known = self._asked(questions)
+        q_lang, q_margin, expected = (np.array([k[i] for k in known]) for i in (1, 2, 3))
         a_lang, a_margin = self.languages([prose(a) for a in answers])
-        rows, cells, values, words = [], [], [], []
-        for i, (q, a) in enumerate(zip(questions, answers, strict=True)):
-            expected = expected_language(q, LANGUAGES[q_lang[i]])
-            mismatch = a_margin[i] > 0 and q_margin[i] > 1 and LANGUAGES[a_lang[i]] not in (expected, LANGUAGES[q_lang[i]])
-            named, own = self._pair(q, a, mismatch, float(a_margin[i]))
-            words.append(own)
-            rows += [i] * len(named)
-            cells += [_zoned(k) for k in named]
-            values += named.values()
-        parts = [(np.array(rows, dtype=np.int64), np.array(cells, dtype=np.int64), np.array(values, dtype=np.float32))]
+        mismatch = (a_margin > 0) & (q_margin > 1) & (a_lang != expected) & (a_lang != q_lang)
+        texts = [a.replace("​", "").replace("﻿", "").strip() for a in answers]
+        asked, own = [k[0] for k in known], [tokens(t) for t in texts]
+        q_flat, q_owner = self.words.of(asked)
+        flat, owner = self.words.of(own)
+        n = np.bincount(owner, minlength=n_rows)
+
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def put(group: str, value: np.ndarray, size: int, where: np.ndarray | None = None) -> None:
+            at = rows if where is None else np.flatnonzero(where)
+            cell = _cells(group, size)[value[at].astype(np.int64)]
+            parts.append((at, cell, np.ones(len(at), dtype=np.float32)))
+
+        put("bias", np.zeros(n_rows), 1)
+        put("n", np.minimum(n, 3) * 2 + (n > 6), 8)
+        put("lang", mismatch * 4 + np.digitize(a_margin, (1, 3, 8)), 8)
+        # the question's words in the answer, and the answer's words that questions and finished answers know
+        w, c = self.words, self.corpus
+        content = np.unique((q_owner << 32 | w.plain[q_flat])[w.long[q_flat]])
+        said = np.unique(owner << 32 | w.plain[flat])
+        n_content, n_said = (np.bincount(x >> 32, minlength=n_rows) for x in (content, said))
+        common = np.bincount(np.intersect1d(content, said, assume_unique=True) >> 32, minlength=n_rows)
+        overlap = common / np.maximum(1, np.minimum(n_content, n_said))
+        off = overlap < 0.34
+        in_domain = (c.words[_joint(w.hash)] >= 3) & (c.asked[_joint(w.plain)] > 1)
+        domain = np.bincount(owner, weights=in_domain[flat], minlength=n_rows) / np.maximum(1, n)
+        put("overlap", overlap * 5, 6)
+        put("speaker", (np.bincount(owner, weights=w.speaks[flat], minlength=n_rows) > 0) * 2 + off, 4)
+        put("domain", (domain * 5).astype(np.int64) * 2 + off, 12)
+
+        named_rows, named, named_values = [], [], []
+        for i, (text, words, ask) in enumerate(zip(texts, own, asked, strict=True)):
+            for name, value in self._pair(text, words, ask):
+                named_rows.append(i)
+                named.append(_zoned(name))
+                named_values.append(value)
+        parts.append((np.array(named_rows, dtype=np.int64), np.array(named, dtype=np.int64), np.array(named_values, dtype=np.float32)))
+        wording = sum(len(p[0]) for p in parts)
         # the n-grams of the answers' words, weighted by their number
-        flat, owner = _hashes(words)
-        scale = (1 / np.sqrt(np.maximum(4, np.bincount(owner, minlength=len(words))))).astype(np.float32)
-        h, same = flat, np.ones(len(flat), dtype=bool)
+        scale = (1 / np.sqrt(np.maximum(4, n))).astype(np.float32)
+        first = h = w.hash[flat]
         for size in (1, 2, 3):
             if size > 1:
-                h = (h[:-1] * 1000003 + flat[size - 1 :]) & 0xFFFFFFFFFFFF if len(h) else h
-                same = owner[: len(h)] == owner[size - 1 :]
-            at = owner[: len(h)][same]
+                h = (h[:-1] * 1000003 + first[size - 1 :]) & 0xFFFFFFFFFFFF if len(h) else h
+            at = owner[: len(h)]
+            same = at == owner[size - 1 :] if len(h) else np.empty(0, dtype=bool)
+            at = at[same]
             parts.append((at, SPACE // 2 + ((h ^ (h >> 19)) % (SPACE // 2))[same], scale[at]))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-
-    def _pair(self, question: str, answer: str, mismatch: bool, margin: float) -> tuple[dict[str, float], list[str]]:
-        """Named features of one pair, without those of the answer's n-grams, and the answer's words."""
-        f: dict[str, float] = {"bias": 1.0}
-        text = answer.replace("​", "").replace("﻿", "").strip()
-        words, asked = tokens(text), tokens(question)
-        n = len(words)
-        f[f"n:{min(n, 3)}:{n > 6}"] = 1.0
+        return Sparse(*map(np.concatenate, zip(*parts, strict=True)), wording)
 
+    def _pair(self, text: str, words: list[str], asked: list[str]) -> Iterator[tuple[str, float]]:
+        """Named features of one pair's form: empty, copied, cut."""
+        n, c = len(words), self.corpus
         # empty
-        bare = re.sub(r"[\W_]+", " ", text.lower()).strip()
-        f["nothing"] = float(not bare)
-        f["placeholder"] = float(bare in _PLACEHOLDERS)
-        f["wrapped"] = float(bool(re.fullmatch(r"[\[<({].*[\]>)}]", text)) and n <= 3)
-        f["label_only"] = float(bool(re.fullmatch(r"\w+\s*:", text)))
+        if n <= 6:
+            plain = bare(text)
+            if not plain:
+                yield "nothing", 1.0
+            else:
+                if plain in _PLACEHOLDERS:
+                    yield "placeholder", 1.0
+                # the same few words for many different questions
+                yield f"often:{min(6, int(np.log2(1 + c.whole[_joint(_hash(plain))])))}:{n > 3}", 1.0
+                if n <= 3 and text[0] in "[<({" and _WRAPPED.fullmatch(text):
+                    yield "wrapped", 1.0
+                if text[-1] == ":" and _LABEL.fullmatch(text):
+                    yield "label_only", 1.0
 
         # copy
-        c = self.corpus
-        stripped = text
-        if (m := re.match(r"\W*(?:\w+\W+){0,3}?\w+\s*[:：]\s+", text)) and n > 4 and words[:2] != asked[:2]:
-            stripped = text[m.end() :]
-        body = words if stripped is text else tokens(stripped)
-        if asked and len(body) <= 2 * len(asked) + 4 and n:
+        body = words
+        if n > 4 and (":" in text or "：" in text) and words[:2] != asked[:2] and (m := _LEAD_IN.match(text)):
+            body = tokens(text[m.end() :])
+        if n and asked and len(body) <= 2 * len(asked) + 4:
             common = _longest_common(asked, body)
             cover_q, cover_a = common / len(asked), common / max(1, len(body))
-            lead = sum(w in body[:5] for w in asked[:3]) / min(3, len(asked))
-            tail = float(body[-1:] == asked[-1:])
-            f[f"cq:{int(cover_q * 10)}"] = f[f"ca:{int(cover_a * 10)}"] = 1.0
-            whole = cover_q > 0.8 and cover_a > 0.85 and lead > 0.6
-            f["whole"] = float(whole)
-            f["whole_tail"] = float(whole) * tail
-            f["clause"] = float(cover_a > 0.8 and lead < 0.6)
-            f["lead"] = lead
-            f[f"lead_ca:{int(lead * 3)}:{int(cover_a * 5)}"] = 1.0
+            head = body[:5]
+            lead = sum(w in head for w in asked[:3]) / min(3, len(asked))
+            yield f"cq:{int(cover_q * 10)}", 1.0
+            yield f"ca:{int(cover_a * 10)}", 1.0
+            if cover_q > 0.8 and cover_a > 0.85 and lead > 0.6:
+                yield "whole", 1.0
+                if body[-1] == asked[-1]:
+                    yield "whole_tail", 1.0
+            if cover_a > 0.8 and lead < 0.6:
+                yield "clause", 1.0
+            yield "lead", lead
+            yield f"lead_ca:{int(lead * 3)}:{int(cover_a * 5)}", 1.0
         else:
-            f["longer"] = 1.0
-
-        # other language
-        f[f"lang:{mismatch}:{0 if margin < 1 else 1 if margin < 3 else 2 if margin < 8 else 3}"] = 1.0
-
-        # refusal
-        plain = [folded(w) for w in words]  # an answer may lack its accents
-        content = {folded(w) for w in asked if len(w) > 2}
-        overlap = len(content & set(plain)) / max(1, min(len(content), len(set(plain))))
-        f[f"overlap:{int(overlap * 5)}"] = 1.0
-        f[f"speaker:{any(w in SPEAKER for w in words)}:{overlap < 0.34}"] = 1.0
-        domain = sum(self._in_domain(w) for w in words) / max(1, n)
-        f[f"domain:{int(domain * 5)}:{overlap < 0.34}"] = 1.0
+            yield "longer", 1.0
+
         # truncated
-        last_line = text.rsplit("\n", 1)[-1]
-        kind = "code" if text.endswith("```") and text.count("```") % 2 == 0 else "open_code" if text.count("```") % 2 else "table" if last_line.lstrip().startswith("|") else "log" if _LOG_LINE.match(last_line + " ") else "marker" if re.fullmatch(r"\s*(?:[-*•+]|\d+[.)])\s*", last_line) and "\n" in text else "list" if _LIST_LINE.match(last_line) else "prose"
-        stop = bool(_FINAL.search(text))
-        f[f"kind:{kind}:{stop}"] = 1.0
+        last_line = text if "\n" not in text else text.rsplit("\n", 1)[-1]
+        fences = text.count("```") if "`" in text else 0
+        begin = last_line.lstrip()[:1]
+        if fences:
+            kind = "open_code" if fences % 2 else "code" if text.endswith("```") else ""
+        else:
+            kind = ""
+        if not kind:
+            if begin.isalpha() or not begin:
+                kind = "prose"
+            elif begin == "|":
+                kind = "table"
+            elif _LOG_LINE.match(last_line + " "):
+                kind = "log"
+            elif last_line is not text and _MARKER.fullmatch(last_line):
+                kind = "marker"
+            else:
+                kind = "list" if _LIST_LINE.match(last_line) else "prose"
+        stop = is_finished(text)
+        yield f"kind:{kind}:{stop}", 1.0
         if kind == "list":
             item = tokens(last_line)
-            f[f"item_end:{c.rare(item[-1]) if item else ''}"] = 1.0
-            f[f"item_pair:{len(item) > 1 and c.pairs[_joint(_hash(item[-2]), _hash(item[-1]))] > 0}"] = 1.0
-            f[f"item_end1:{item[-1] if item and not c.rare(item[-1]) else ''}"] = 1.0
+            yield f"item_end:{c.rare(item[-1]) if item else ''}", 1.0
+            yield f"item_pair:{len(item) > 1 and c.pairs[_joint(_hash(item[-2]), _hash(item[-1]))] > 0}", 1.0
+            yield f"item_end1:{item[-1] if item and not c.rare(item[-1]) else ''}", 1.0
         if kind == "prose" and not stop and n > 6:
-            final = "," if re.search(r"[,;:–—-]$", text) else "(" if re.search(r"\([^)]*$", text) or text.count("“") > text.count("”") else ""
-            f[f"close:{final}"] = 1.0
-            w2, w1, w0 = (["", "", ""] + words)[-3:]
+            final = "," if text[-1] in ",;:–—-" else "(" if text.rfind("(") > text.rfind(")") or text.count("“") > text.count("”") else ""
+            yield f"close:{final}", 1.0
+            w2, w1, w0 = words[-3:]
+            h2, h1, h0 = map(_hash, (w2, w1, w0))
             m0, m1 = ("~" if c.rare(w0) else w0), ("~" if c.rare(w1) else w1)
-            f[f"rare_end:{m0 == '~'}:{w0[:1].isdigit()}"] = 1.0
-            raw = re.findall(r"\S+", text)[-1]
-            f[f"capital_end:{raw[:1].isupper()}:{m0 == '~'}"] = 1.0
-            both = _joint(_hash(w1), _hash(w0))
+            yield f"rare_end:{m0 == '~'}:{w0[:1].isdigit()}", 1.0
+            raw = text.rsplit(None, 1)[-1]
+            yield f"capital_end:{raw[:1].isupper()}:{m0 == '~'}", 1.0
+            both = _joint(h1, h0)
             p, pe = c.pairs[both], c.pair_ends[both]
-            u, ue = c.words[_joint(_hash(w0))], c.ends[_joint(_hash(w0))]
-            t3 = c.pair_ends[_joint(_hash(w2), _hash(w1), _hash(w0))]
-            f[f"triple_end:{int(min(3, np.log2(1 + t3)))}:{p > 0}"] = 1.0
-            f[f"pair_end:{'new' if p == 0 else int(np.clip(np.log((pe + 0.5) / (max(p - pe, 0) + 0.5)), -4, 4))}"] = 1.0
-            f[f"word_end:{'new' if u == 0 else int(np.clip(np.log((ue + 0.5) / (max(u - ue, 0) + 0.5)), -4, 4))}"] = 1.0
-            f[f"end1:{m0}"] = f[f"end2:{m1} {m0}"] = 1.0
-            f[f"before_rare:{m1 if m0 == '~' else ''}"] = 1.0
-            f["end3:" + text[-3:].lower()] = 0.5
-        return f, words
+            u, ue = c.words[_joint(h0)], c.ends[_joint(h0)]
+            t3 = c.pair_ends[_joint(h2, h1, h0)]
+            yield f"triple_end:{int(min(3, math.log2(1 + t3)))}:{p > 0}", 1.0
+            yield f"pair_end:{'new' if p == 0 else _log_odds(pe, p)}", 1.0
+            yield f"word_end:{'new' if u == 0 else _log_odds(ue, u)}", 1.0
+            yield f"end1:{m0}", 1.0
+            yield f"end2:{m1} {m0}", 1.0
+            yield f"before_rare:{m1 if m0 == '~' else ''}", 1.0
+            yield "end3:" + text[-3:].lower(), 0.5
+
+
+def _log_odds(part: int, whole: int) -> int:
+    return int(max(-4.0, min(4.0, math.log((part + 0.5) / (max(whole - part, 0) + 0.5)))))
 
 
 def refusal(rng: random.Random, code: str) -> str:
@@ -359,7 +484,7 @@ def cut(rng: random.Random, answer: str, corpus: Corpus) -> str:
                     piece += " (" + " ".join(answer.split()[:3])
                 elif way > 0.82:
                     piece += ","
-            if _FINAL.search(piece) or (way <= 0.82 and corpus.pair_ends[_joint(*map(_hash, tokens(piece)[-3:]))]):
+            if is_finished(piece) or (way <= 0.82 and corpus.pair_ends[_joint(*map(_hash, tokens(piece)[-3:]))]):
                 continue
             return piece
     return ""
@@ -380,7 +505,7 @@ def synthetic(pairs: list[tuple[str, str]], languages: list[str], corpus: Corpus
             labels.append([np.nan if unsure == x else label == x for x in LABELS])
 
     for (q, a), code in zip(pairs, languages, strict=True):
-        whole = bool(_FINAL.search(a)) and "\n" not in a and len(a) > 40
+        whole = is_finished(a) and "\n" not in a and len(a) > 40
         if whole:
             add(q, cut(rng, a, corpus), "truncated")
             bare = re.sub(r"[.!?…]+\s*$", "", a)
@@ -424,33 +549,53 @@ class Classifier:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def probabilities(self, triples: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
-        rows, cells, values = triples
-        z = np.stack([np.bincount(rows, weights=self.weights[cells, k] * values, minlength=n) for k in range(len(LABELS))], axis=1)
+    def probabilities(self, found: Sparse, n: int) -> np.ndarray:
+        z = np.empty((n, len(LABELS)))
+        for k, label in enumerate(LABELS):
+            end = len(found.rows) if label == "refusal" else found.wording
+            z[:, k] = np.bincount(found.rows[:end], weights=self.weights[found.cells[:end], k] * found.values[:end], minlength=n)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _train(triples: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, mask: np.ndarray, start: np.ndarray | None = None, rounds: int = 110, l2: float = 2e-5) -> np.ndarray:
+class _Design:
+    """The triples that one label sees, once in the order of the rows and once in that of the cells, for sums over either."""
+
+    def __init__(self, found: Sparse, n: int, label: str) -> None:
+        seen = found.cells < _SEES.get(label, SPACE // 2)
+        rows, cells, values = found.rows[seen], found.cells[seen], found.values[seen].astype(np.float64)
+        self.used, at = np.unique(cells, return_inverse=True)
+        order = np.argsort(rows, kind="stable")
+        self.row_at, self.row_values = at[order], values[order]
+        self.row_start = np.searchsorted(rows[order], np.arange(n))  # every row has a bias, so none is empty
+        order = np.argsort(at, kind="stable")
+        self.cell_rows, self.cell_values = rows[order], values[order]
+        self.cell_start = np.searchsorted(at[order], np.arange(len(self.used)))
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.row_at] * self.row_values, self.row_start)
+
+    def gradient(self, error: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(error[self.cell_rows] * self.cell_values, self.cell_start)
+
+
+def _train(designs: list[_Design], y: np.ndarray, mask: np.ndarray, start: np.ndarray | None = None, rounds: int = 110, l2: float = 2e-5) -> np.ndarray:
     """Logistic regression per label by Adam over the whole (bounded) sample; mask leaves examples out per label. start: weights to go on from.
 
     Each label sees its zones of the feature space only.
     """
     out = np.zeros((SPACE, y.shape[1]), dtype=np.float32)
-    for k in range(y.shape[1]):
-        seen = triples[1] < _SEES.get(LABELS[k], SPACE // 2)
-        rows, cells, values = (x[seen] for x in triples)
-        used, at = np.unique(cells, return_inverse=True)
-        w = np.zeros(len(used)) if start is None else start[used, k].astype(np.float64)
-        m = v = np.zeros(len(used))
+    for k, design in enumerate(designs):
+        w = np.zeros(len(design.used)) if start is None else start[design.used, k].astype(np.float64)
+        m = v = np.zeros(len(design.used))
         weight = mask[:, k] / max(1.0, mask[:, k].sum())
         positive = (weight * y[:, k]).sum()
         weight = weight * np.where(y[:, k] > 0, 0.35 / max(positive, 1e-9), 0.65 / max(weight.sum() - positive, 1e-9))
         for t in range(1, rounds + 1):
-            p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[at] * values, minlength=len(y)), -30, 30)))
-            g = np.bincount(at, weights=(weight * (p - y[:, k]))[rows] * values, minlength=len(used)) + l2 * w
+            p = 1 / (1 + np.exp(-np.clip(design.scores(w), -30, 30)))
+            g = design.gradient(weight * (p - y[:, k])) + l2 * w
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        out[used, k] = w
+        out[design.used, k] = w
     return out
 
 
@@ -470,26 +615,27 @@ def fit(pairs: DataFrame, corpus: Corpus, model: LanguageModel, sample: int = SA
     y = np.nan_to_num(y)
     held = np.random.default_rng(seed).random(len(y)) < 0.2
     real = np.arange(len(y)) < len(rows)
-    weights = _train(triples, y, np.where(held[:, None], 0, mask))
+    designs = [_Design(triples, len(y), label) for label in LABELS]
+    weights = _train(designs, y, np.where(held[:, None], 0, mask))
     for _ in range(2):
         p = Classifier(weights, np.full(len(LABELS), 0.5)).probabilities(triples, len(y))
         k = LABELS.index("refusal")  # its wording differs from pair to pair; the others' features leave little doubt
         mask[real & (p[:, k] > 0.3), k] = 0  # probably refusals themselves
         sure = real & (p[:, k] > 0.8)
         y[sure, k] = mask[sure, k] = 1  # real wording joins the synthetic one
-        weights = _train(triples, y, np.where(held[:, None], 0, mask), weights, 50)
+        weights = _train(designs, y, np.where(held[:, None], 0, mask), weights, 50)
     classifier = Classifier(weights, np.full(len(LABELS), 0.5))
     p = classifier.probabilities(triples, len(y))
-    for k in range(len(LABELS)):
+    for k, label in enumerate(LABELS):
         use = held & (mask[:, k] > 0)
-        scale, scores = np.arange(0.4, 0.9, 0.02), []
+        scale, scores = np.arange(RANGE.get(label, 0.3), 0.9, 0.02), []
         for t in scale:
             said, true = p[use, k] > t, y[use, k] > 0
             # a clean pair weighs twice, as in the data clean pairs are far more frequent than here
             scores.append(2 * (said & true).sum() / max(1, 2 * (said & true).sum() + (~said & true).sum() + 2 * (said & ~true).sum()))
-        # of thresholds about as good: the middle where features leave little doubt, else the lowest, as real defects score below synthetic ones (refusals at least one half, as clean answers can share their words)
+        # of thresholds about as good: the middle where features leave little doubt, else the lowest, as real defects score below synthetic ones
         good = scale[np.flatnonzero(np.array(scores) >= max(scores) - 0.01)]
-        classifier.thresholds[k] = (good[0] + good[-1]) / 2 if LABELS[k] in ("empty", "copy") else max(0.5, good[0]) if LABELS[k] == "refusal" else min(0.5, good[0])
+        classifier.thresholds[k] = (good[0] + good[-1]) / 2 if label in ("empty", "copy") else good[0]
     return classifier
 
 
@@ -510,8 +656,8 @@ def defective_pairs(pairs: DataFrame, model: LanguageModel, sample: int = SAMPLE
         corpus, model, classifier = shared.value
         features = Features(corpus, model)
         for whole in batches:
-            for at in range(0, len(whole), 2000):
-                pdf = whole.iloc[at : at + 2000]
+            for at in range(0, len(whole), BATCH):
+                pdf = whole.iloc[at : at + BATCH]
                 p = classifier.probabilities(features.of(pdf["question"].fillna("").tolist(), pdf["answer"].fillna("").tolist()), len(pdf))
                 over = p > classifier.thresholds
                 some = over.any(1)

@@ -87,23 +87,26 @@ def letters(piece: str) -> str:
     return " " + " ".join(_WORDS.findall(piece.lower())) + " "
 
 
-def ngram_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of every piece, and the piece that each belongs to."""
+def ngrams_by_order(pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per order: bucket of every n-gram of every piece, and the piece that each belongs to, in the order of the pieces."""
     lengths = np.fromiter((len(p) for p in pieces), dtype=np.int64, count=len(pieces))
     points = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(pieces)), lengths)
-    ids, owners = [], []
     h = np.zeros(len(points), dtype=np.uint64)
     for n in range(1, max(ORDERS) + 1):
         h = h[: len(points) - n + 1] * np.uint64(1000003) + points[n - 1 :]
         if n in ORDERS and len(h):
             same = owner[: len(h)] == owner[n - 1 :]
             mixed = (h ^ (h >> np.uint64(15))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n)
-            ids.append((mixed >> np.uint64(47)).astype(np.int64)[same])
-            owners.append(owner[: len(h)][same])
-    if not ids:
+            yield (mixed >> np.uint64(47)).astype(np.int64)[same], owner[: len(h)][same]
+
+
+def ngram_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket of every n-gram of every piece, and the piece that each belongs to."""
+    parts = list(ngrams_by_order(pieces))
+    if not parts:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(ids), np.concatenate(owners)
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
 def groups(pieces: list[str], limit: int = 300_000) -> Iterator[slice]:
@@ -133,9 +136,12 @@ class LanguageModel:
         """Tempered log-likelihoods, pieces x languages."""
         out = np.zeros((len(pieces), len(LANGUAGES)))
         for part in groups(pieces):
-            ids, owner = ngram_ids(pieces[part])
-            for k in range(len(LANGUAGES)):
-                out[part, k] = np.bincount(owner, weights=self.log_p[ids, k], minlength=part.stop - part.start)
+            n = part.stop - part.start
+            for ids, owner in ngrams_by_order(pieces[part]):
+                starts = np.searchsorted(owner, np.arange(n))
+                some = np.append(starts[1:], len(owner)) > starts
+                if some.any():
+                    out[part][some] += np.add.reduceat(self.log_p[ids], starts[some], axis=0, dtype=np.float64)
         return out * TEMPER
 
 

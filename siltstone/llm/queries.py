@@ -41,9 +41,9 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    # the language model is fitted on a bounded sample of documents, drawn from the whole table
+    # the language model is fitted on a bounded sample of documents, drawn from the whole table and spread over as many tasks as there are cores
     documents = table(spark, d, "documents").select("text", "lang")
-    labelled = drawn(documents, LANGUAGE_SAMPLE, documents.count(), seed=3)
+    labelled = drawn(documents, LANGUAGE_SAMPLE, documents.count(), seed=3).repartition(max(2, min(32, spark.sparkContext.defaultParallelism)))
     return defects.defective_pairs(_pairs(spark, d), languages.fit(labelled)).select("src_table", "record_id", "defect")
 
 
