@@ -60,6 +60,24 @@ def judge_scores(response: Column, criteria: list[str]) -> Column:
     return F.struct(*[scaled(F.get_json_object(found, f"$.{c}").try_cast("double"), 1.0, 5.0).alias(c) for c in criteria])
 
 
-def resolve_prompts(registry: DataFrame, label: str = "production") -> DataFrame:
-    """The newest version per prompt name that carries the label: name, version, template."""
-    return registry.where(F.array_contains("labels", label)).groupBy("name").agg(F.max_by(F.struct("version", "template"), "version").alias("x")).select("name", "x.*")
+def resolve_prompts(registry: DataFrame, label: str = "production", fallback: dict[str, str] | None = None) -> DataFrame:
+    """The newest version per prompt name that carries the label: name, version, template. Names of fallback without one get its template as version 0."""
+    found = registry.where(F.array_contains("labels", label)).groupBy("name").agg(F.max_by(F.struct("version", "template"), "version").alias("x")).select("name", "x.*")
+    if not fallback:
+        return found
+    spare = registry.sparkSession.createDataFrame(list(fallback.items()), "name string, template string").join(found.select("name"), "name", "left_anti")
+    return found.unionByName(spare.select("name", F.lit(0).cast(registry.schema["version"].dataType).alias("version"), "template"))
+
+
+def promote(registry: DataFrame, name: str, version: int, label: str = "production") -> DataFrame:
+    """The registry with the label on that version of the prompt and on no other version of it."""
+    here, bare = F.col("name") == name, F.array_remove(F.coalesce("labels", F.array().cast("array<string>")), label)
+    return registry.withColumn("labels", F.when(here & (F.col("version") == version), F.array_append(bare, F.lit(label))).when(here, bare).otherwise(F.col("labels")))
+
+
+def rollback(registry: DataFrame, name: str, label: str = "production") -> DataFrame:
+    """The label moves to the version before the newest one that carries it; if there is none it stays."""
+    own = registry.where(F.col("name") == name)
+    now = own.where(F.array_contains("labels", label)).agg(F.max("version").alias("now"))
+    before = own.crossJoin(now).where(F.col("version") < F.col("now")).agg(F.max("version").alias("v")).first()["v"]  # one row
+    return registry if before is None else promote(registry, name, before, label)

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: Words that the evaluation tokens leave out.
-STOPWORDS = (
-    "a an the is are was were be been being of in on at to for with as by and or "
-    "it its this that these those from into than but not have had has do does did can will"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "of", "in", "on", "at", "to", "for", "with", "as", "by", "and", "or",
+    "it", "its", "this", "that", "these", "those", "from", "into", "than", "but", "not", "have", "had", "has", "do", "does", "did", "can", "will",
+]
 
 #: Named patterns, applied in this order.
 SCRUB_PATTERNS = {
@@ -94,9 +94,15 @@ def strip_html(c: Column) -> Column:
     return strip(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
+def casefold(c: Column) -> Column:
+    """Full case folding inside the JVM: upper and then lower case, in which the dotless i stays and a final sigma becomes a plain one."""
+    kept = F.translate(c, "ı", "\ue0ff")  # a private character that has no case
+    return F.translate(F.lower(F.upper(kept)), "\ue0ffς", "ıσ")
+
+
 def question_key(c: Column) -> Column:
-    """Key that finds the same question again: blanks collapsed, lower case."""
-    return F.lower(strip(F.regexp_replace(c, r"(?U)\s+", " ")))
+    """Key that finds the same question again: blanks collapsed, case folded."""
+    return casefold(strip(F.regexp_replace(c, r"(?U)\s+", " ")))
 
 
 def scrub(c: Column, patterns: dict[str, str] | None = None, form: str = "[REDACTED_{name}]") -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,35 +37,44 @@ def by_sentences(text: Column, per_chunk: int = 3) -> Column:
 
 
 def windows(text: Column, size: int = 500, overlap: int = 50) -> Column:
-    """Stripped windows of size characters every size - overlap characters (at least 1); blank ones are left out."""
+    """Stripped windows of size characters every size - overlap characters (at least 1); a blank one is null, so that the others keep their places."""
     step = max(1, size - overlap)
     starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: strip(F.substring(text, i + 1, F.lit(size)))), lambda x: x != "")
+    return F.transform(starts, lambda i: F.nullif(strip(F.substring(text, i + 1, F.lit(size))), F.lit("")))
+
+
+def spans(text: str, a: int, b: int, size: int, separators: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    """Places of the chunks of text[a:b].
+
+    A separator's occurrences give the starts of the parts, and a part's cost (its
+    length and the separator's) is the distance to the next start. So the longest run
+    of parts that fits ends at the last start within size of its first one, which a
+    binary search over the starts finds. A part that is itself too long is cut by the
+    separators after this one, at last into slices.
+    """
+    if b - a <= size:
+        yield a, b
+        return
+    here = next((k for k, s in enumerate(separators) if s == "" or text.find(s, a, b) >= 0), len(separators))
+    if not "".join(separators[here : here + 1]):
+        yield from ((at, min(at + size, b)) for at in range(a, b, size))
+        return
+    sep = separators[here]
+    starts = [a, *(m.end() for m in re.compile(re.escape(sep)).finditer(text, a, b)), b + len(sep)]
+    first = 0
+    while first < len(starts) - 1:
+        stop = max(first + 1, bisect_right(starts, starts[first] + size) - 1)
+        end = starts[stop] - len(sep)
+        yield from spans(text, starts[first], end, size, separators[here + 1 :]) if end - starts[first] > size else [(starts[first], end)]
+        first = stop
 
 
 def pieces(text: str, size: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Packs the parts between the first separator present as long as they fit (each counts with its separator); a part too long is cut by the next ones."""
-    if len(text) <= size:
-        return [text]
-    sep = next((s for s in separators if s in text), "")
-    if not sep:
-        return [text[i : i + size] for i in range(0, len(text), size)]
-    rest = separators[separators.index(sep) + 1 :]
-    out, pack, used = [], [], 0
-    for part in text.split(sep):
-        cost = len(part) + len(sep)
-        if used + cost > size:
-            if pack:
-                out.append(sep.join(pack))
-            pack, used = [], 0
-            if len(part) > size:
-                out += pieces(part, size, rest)
-                continue
-        pack.append(part)
-        used += cost
-    if pack:
-        out.append(sep.join(pack))
-    return [x for x in map(str.strip, out) if x]
+    """The chunks of a text: runs of the parts between the first separator present, as long as they fit; stripped, without blank ones. A text that fits, or that has no separator, stays unstripped."""
+    found = list(spans(text, 0, len(text), size, separators)) if text else []
+    if not any(s and s in text for s in separators) or len(text) <= size:
+        return [text[a:b] for a, b in found]
+    return [x for a, b in found if (x := text[a:b].strip())]
 
 
 def recursive(text: Column, size: int = 500, separators: tuple[str, ...] = SEPARATORS) -> Column:
@@ -83,13 +96,14 @@ def by_strategy(text: Column, strategy: str, size: int = 500, overlap: int = 50,
 def chunk_documents(docs: DataFrame, chunks: Column, id_col: str = "id", text: str = "content", form: str = "_chunk_") -> DataFrame:
     """One row per chunk: id (document id, form, index), parent_doc_id, content, chunk_index, n_chunks; other columns of docs follow where names don't clash.
 
-    Documents whose text is null or blank give no chunks. The chunk expression sees
-    the column ``_text``, the text without blanks around it.
+    Documents whose text is null or blank give no chunks, and null chunks are left out
+    without renumbering the others. The chunk expression sees the column ``_text``,
+    the text without blanks around it.
     """
     names = ("id", "parent_doc_id", "content", "chunk_index", "n_chunks")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text, *names)]
     cut = docs.withColumn("_text", strip(F.col(text))).where(F.col("_text") != "").withColumn("_chunks", chunks)
-    return cut.select(F.col(id_col).cast("string").alias("parent_doc_id"), F.size("_chunks").alias("n_chunks"), F.posexplode("_chunks").alias("chunk_index", "content"), *others).select(
+    return cut.select(F.col(id_col).cast("string").alias("parent_doc_id"), F.size(F.array_compact("_chunks")).alias("n_chunks"), F.posexplode("_chunks").alias("chunk_index", "content"), *others).where(F.col("content").isNotNull()).select(
         F.concat("parent_doc_id", F.lit(form), "chunk_index").alias("id"), "parent_doc_id", "content", "chunk_index", "n_chunks", *others
     )
 

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import metrics as M
 from siltstone.functions.text import is_blank, plain_tokens, question_key, split_tokens, strip, token_set
+from siltstone.operators.quantiles import exact_quantiles
+from siltstone.session import drawn
+
+#: Tasks that the rows of one repeated question are spread over.
+SALTS = 16
 
 
 def evaluate_samples(samples: DataFrame, question: str = "question", expected: str = "expected_answer", answer: str = "actual_answer", contexts: str | None = None, error: str | None = None) -> DataFrame:
@@ -93,8 +98,8 @@ def golden_faults(pairs: DataFrame, corpus: DataFrame | None = None, id_col: str
 
     contexts is an array of struct<source_doc, text>. Questions are the same if they
     are so apart from case and blanks. Duplicates are reported for every row but the
-    first by id. Counts come from grouping, so a question that a third of all rows
-    share is combined before it moves.
+    first by id. Counts come from grouping, and the join back is salted, so a question
+    that a third of all rows share is combined or spread before it moves.
     """
     base = pairs.withColumn("_key", question_key(F.col(question)))
     faults = [F.when(is_blank(F.col(id_col).cast("string")), "no_id"), F.when(is_blank(F.col(question)), "no_question"), F.when(is_blank(F.col(answer)), "no_answer")]
@@ -104,7 +109,9 @@ def golden_faults(pairs: DataFrame, corpus: DataFrame | None = None, id_col: str
     rows = base.select(F.col(id_col).alias("id"), F.explode(F.array_compact(F.array(*faults))).alias("fault"))
     ids = pairs.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("id").isNotNull()).select("id", F.lit("duplicate_id").alias("fault"))
     first = base.where(F.col("_key") != "").groupBy("_key").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    twice = base.join(first, "_key").where(F.col(id_col) != F.col("_first")).select(F.col(id_col).alias("id"), F.lit("duplicate_question").alias("fault"))
+    # the rows of a question that many share spread over SALTS tasks
+    salted = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    twice = base.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, ["_key", "_salt"]).where(F.col(id_col) != F.col("_first")).select(F.col(id_col).alias("id"), F.lit("duplicate_question").alias("fault"))
     out = rows.unionByName(ids).unionByName(twice)
     if contexts and corpus is not None:
         asked = pairs.select(F.col(id_col).alias("id"), F.explode(contexts).alias("c")).select("id", "c.source_doc", F.col("c.text").alias("snippet"))
@@ -126,11 +133,13 @@ def strata(rows: DataFrame, column: str, minima: dict[str, int]) -> DataFrame:
 def judge_biases(scores: DataFrame, order: str = "seq", score: str = "score", answer: str | None = None) -> DataFrame:
     """One row: n, mean_score, is_lenient (mean above 0.85), is_severe (below 0.35), is_positional (first half above the second by more than 0.20, from 4 rows), is_verbose (longer answers above shorter ones by more than 0.25, from 5 rows).
 
-    order numbers the rows one by one, from whatever number; the first half is the
-    n // 2 lowest. All of it are sums, so the rows never come together.
+    order is a number of each row's place; it may have gaps. The first half is the
+    n // 2 lowest, those below the exact median of the places, so the rows never come
+    together; rows of one place fall into the same half.
     """
-    stats = scores.agg((F.min(order) + F.floor(F.count(F.lit(1)) / 2)).alias("_mid"), *([F.avg(F.size(split_tokens(F.col(answer)))).alias("_words")] if answer else []))
-    rows = scores.crossJoin(stats)  # one row
+    middle = exact_quantiles(scores, [], order, (0.5,)).agg(F.max("value").alias("_mid"))
+    stats = scores.agg(*([F.avg(F.size(split_tokens(F.col(answer)))).alias("_words")] if answer else [F.lit(None).alias("_words")]))
+    rows = scores.crossJoin(stats).crossJoin(middle)  # one row each
     first = F.col(order) < F.col("_mid")
     longer = F.size(split_tokens(F.col(answer))) > F.col("_words") if answer else F.lit(None).cast("boolean")
     s = F.col(score)
@@ -141,6 +150,7 @@ def judge_biases(scores: DataFrame, order: str = "seq", score: str = "score", an
     return out.select(
         "n", F.round("mean_score", 6).alias("mean_score"), (F.col("mean_score") > 0.85).alias("is_lenient"), (F.col("mean_score") < 0.35).alias("is_severe"),
         F.coalesce((F.col("n") >= 4) & (F.col("_halves") > 0.20), F.lit(False)).alias("is_positional"), F.coalesce((F.col("n") >= 5) & (F.col("_lengths") > 0.25), F.lit(False)).alias("is_verbose"),
+        F.round("_halves", 6).alias("half_gap"), F.round("_lengths", 6).alias("length_gap"),
     )
 
 
@@ -152,7 +162,62 @@ def ab_delta(scores: DataFrame, variant: str, values: tuple[str, str], metrics:
     return means.select(*[x for m in metrics for x in (F.col(name(a, m)).alias(f"{a}_{m}"), F.col(name(b, m)).alias(f"{b}_{m}"), (F.col(name(b, m)) - F.col(name(a, m))).alias(f"delta_{m}"))])
 
 
+def numbered(rows: DataFrame, order: str, name: str = "n", ranges: int = 64) -> DataFrame:
+    """Adds the place of each row, from 1, in order of a column (ties in any order), without sorting the rows in one task.
+
+    A sample of the column gives bounds; ranges between them are numbered by
+    themselves and moved on by the counts of the ranges before.
+    """
+    some = sorted(r[0] for r in drawn(rows.select(order).where(F.col(order).isNotNull()), 32 * ranges, rows.count(), 1).collect())  # a bounded sample
+    bounds = [some[k * len(some) // ranges] for k in range(1, ranges)] if some else []
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order))) if bounds else F.lit(0)
+    cut = rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(at))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_c")).select(F.col("_range").alias("_r"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    inside = cut.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    return inside.join(F.broadcast(starts), F.col("_range") == F.col("_r")).withColumn(name, F.col("_start") + F.col("_in")).drop("_range", "_r", "_start", "_in")
+
+
+#: What to do about failures, by their type in order of priority, then what is always worth doing.
+REMEDIES = {
+    "hallucination": "High Priority: Implement Factual Consistency Guardrail / Strict Context Grounding Prompt constraint.",
+    "incomplete": "High Priority: Increase retrieval top-k window, enrich chunk overlap, and add structured few-shot examples.",
+    "irrelevant": "Medium Priority: Refine query reformulation / intent routing step to preserve core user constraints.",
+    "off_topic": "Medium Priority: Implement system prompt boundary enforcement and out-of-scope intent classifier.",
+}
+ALWAYS = ("Audit corpus document parsing for table and list truncation.", "Incorporate cross-encoder reranking to improve Context Precision AP@K.", "Tune system prompt temperature to <= 0.2 for deterministic adherence.")
+HEALTHY = "Pipeline healthy. No remediation required."
+
+
+def remediations(failures: DataFrame) -> DataFrame:
+    """place (from 1), action: those of the failure types present in order of priority, filled up with the general ones to four; HEALTHY alone without failures."""
+    kind = F.col("failure_type") if "failure_type" in failures.columns else F.lit("unknown")
+    seen = failures.agg(F.coalesce(F.collect_set(kind), F.array().cast("array<string>")).alias("kinds"), F.count(F.lit(1)).alias("n"))  # a handful of types
+    named = F.array_compact(F.array(*[F.when(F.array_contains("kinds", k), F.lit(v)) for k, v in REMEDIES.items()]))
+    actions = F.when(F.col("n") == 0, F.array(F.lit(HEALTHY))).otherwise(F.concat(named, F.slice(F.array(*map(F.lit, ALWAYS)), F.lit(1), F.greatest(F.lit(0), F.lit(4) - F.size(named)))))
+    return seen.select(F.posexplode(actions).alias("p", "action")).select((F.col("p") + 1).alias("place"), "action")
+
+
 def numbered_failures(results: DataFrame, id_col: str) -> DataFrame:
-    """Failed rows with a failure_id F001, F002, ... in order of id_col. The numbering is global, so it suits the failures of one report."""
-    w = Window.orderBy(id_col)
-    return results.where(~F.col("passed")).withColumn("failure_id", F.format_string("F%03d", F.row_number().over(w)))
+    """Failed rows with a failure_id F001, F002, ... in order of id_col and the action of the same place, or else the first one."""
+    failed = results.where(~F.col("passed"))
+    actions = remediations(failed).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "action"))), lambda x: x["action"]).alias("_actions"))  # at most four
+    rows = numbered(failed, id_col, "_n").crossJoin(actions)  # one row
+    return rows.withColumn("failure_id", F.format_string("F%03d", "_n")).withColumn("action", F.coalesce(F.get("_actions", F.col("_n").cast("int") - 1), F.get("_actions", F.lit(0)))).drop("_n", "_actions")
+
+
+def benchmark_report(scores: DataFrame, hit: str = "hit", rr: str = "rr", latency: str | None = None) -> DataFrame:
+    """One row: n_queries, mean_hit, mean_rr (4 digits), mean_latency_ms (2 digits); zeros without queries."""
+    mean = lambda c, d: F.round(F.coalesce(F.avg(c), F.lit(0.0)), d)
+    return scores.agg(F.count(F.lit(1)).alias("n_queries"), mean(hit, 4).alias("mean_hit"), mean(rr, 4).alias("mean_rr"), (mean(latency, 2) if latency else F.lit(0.0)).alias("mean_latency_ms"))
+
+
+def pipeline_report(scores: DataFrame, hit: str = "hit_rate", f1: str = "token_f1", judge: str = "judge_score", correct: str = "judge_correct", by: list[str] | None = None) -> DataFrame:
+    """n, means of hit rate, F1 and judge score, and the share judged correct (4 digits); nulls are left out of each mean."""
+    mean = lambda c: F.round(F.avg(F.col(c).cast("double")), 4)
+    return (scores.groupBy(*by) if by else scores.groupBy()).agg(F.count(F.lit(1)).alias("n"), mean(hit).alias("mean_hit_rate"), mean(f1).alias("mean_token_f1"), mean(judge).alias("mean_judge_score"), F.round(F.avg(F.col(correct).cast("int")), 4).alias("judge_accuracy"))
+
+
+def context_report(scores: DataFrame, recall: str = "exact_recall", precision: str = "keyword_precision", by: list[str] | None = None) -> DataFrame:
+    """n, mean recall and precision of contexts (4 digits)."""
+    return (scores.groupBy(*by) if by else scores.groupBy()).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(recall), 4).alias("mean_recall"), F.round(F.avg(precision), 4).alias("mean_precision"))

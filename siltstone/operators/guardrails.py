@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import canonical, entropy
+from siltstone.functions.text import canonical, casefold, entropy, is_blank
 
 #: Signs of an attempt to get around instructions, in this order.
 INPUT_PATTERNS = (
@@ -57,7 +57,7 @@ def filter_output(text: Column, min_entropy: float = 3.8, min_length: int = 12)
 
 
 def _is_secret(fragment: Column, min_entropy: float, min_length: int) -> Column:
-    plain = F.lower(F.regexp_replace(fragment, r"(?U)[\s\-_.\\/]+", ""))
+    plain = casefold(F.regexp_replace(fragment, r"(?U)[\s\-_.\\/]+", ""))
     return (F.length(plain) >= min_length) & (entropy(plain) >= min_entropy)
 
 

@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import split_tokens, token_set
 
-#: Query vectors that go to every task at once, at most.
+#: Queries that go to every task at once, at most.
 QUERY_BLOCK = 20_000
+#: Scores (queries x documents) that a task holds at once.
+TILE = 1 << 22
+
+
+def default_k(k: int | None, default: int = 5) -> int:
+    """The number of results asked for; 0 and None mean the default."""
+    return k or default
 
 
 def matches(metadata: Column, wanted: dict[str, str | None] | None) -> Column:
@@ -29,81 +36,159 @@ def top(ranked: DataFrame, k: int, by: list[str], score: str = "score", tie: str
     return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best documents of every query that a task has seen; ties (scores alike to 9 digits) go to the smaller id."""
+
+    def __init__(self, n_queries: int, k: int) -> None:
+        self.k, self.least = k, np.full(n_queries, -np.inf)
+        self.q, self.ids, self.scores = np.empty(0, dtype=np.int64), np.empty(0, dtype=object), np.empty(0)
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, some: np.ndarray | None = None) -> None:
+        """scores: queries x documents; some: which of them count at all."""
+        rounded = np.round(scores, 9)
+        if some is not None:
+            rounded[~some] = -np.inf
+        least = self.least
+        if rounded.shape[1] > self.k:
+            least = np.maximum(least, np.partition(rounded, -self.k, axis=1)[:, -self.k])
+        q, d = np.nonzero((rounded >= least[:, None]) & (rounded > -np.inf))
+        self.waiting.append((q, ids[d], scores[q, d]))
+        self.n_waiting += len(q)
+        if self.n_waiting > TILE:
+            self.settle()
+
+    def settle(self) -> None:
+        q, ids, scores = (np.concatenate((a, *b)) for a, b in zip((self.q, self.ids, self.scores), zip(*self.waiting, strict=True), strict=True)) if self.waiting else (self.q, self.ids, self.scores)
+        order = np.lexsort((np.unique(ids, return_inverse=True)[1], -np.round(scores, 9), q)) if len(q) else np.empty(0, dtype=np.int64)
+        q, ids, scores = q[order], ids[order], scores[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        keep = place < self.k
+        self.q, self.ids, self.scores = q[keep], ids[keep], scores[keep]
+        last = place == self.k - 1
+        self.least[q[last]] = np.round(scores[last], 9)
+        self.waiting, self.n_waiting = [], 0
+
+
+def _blocks(queries: DataFrame, key: str = "query_id") -> Iterator[DataFrame]:
+    """The queries in blocks of about QUERY_BLOCK by a hash of their id."""
+    n = max(1, -(-queries.select(key).distinct().count() // QUERY_BLOCK))
+    for b in range(n):
+        yield queries if n == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b)
+
+
+def _unit_rows(vectors: list, dim: int) -> np.ndarray:
+    """Unit vectors; null, zero and unequally long ones and those with NaN become zero."""
+    out = np.zeros((len(vectors), dim))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == dim:
+            out[i] = v
+    n = np.linalg.norm(out, axis=1)
+    good = np.isfinite(n) & (n > 0)
+    return np.where(good[:, None], out, 0.0) / np.where(good, n, 1.0)[:, None]
+
+
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, query_id: str = "query_id", id_col: str = "id", vector: str = "embedding", min_score: float | None = None) -> DataFrame:
     """query_id, id, score (cosine), rank: the k most similar corpus vectors per query.
 
-    Null, zero and unequally long vectors score 0, as ties by id. Queries go to the
-    tasks in blocks of QUERY_BLOCK, one pass over the corpus each; every task keeps
-    k rows per query, so nothing but those is shuffled. An empty side gives no rows.
+    Null, zero, NaN and unequally long vectors score 0, as ties by id. Queries go to the
+    tasks in blocks of QUERY_BLOCK, one pass over the corpus each; a task scores tiles
+    of at most TILE cells and keeps k rows per query, so nothing but those is shuffled.
+    An empty side gives no rows.
     """
     ids, types = corpus.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")), dict(corpus.dtypes)
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    schema = f"query_id {dict(queries.dtypes)[query_id]}, id {types[id_col]}, score double"
     found = None
-    for b in range(blocks):
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+    for part in _blocks(asked):
         block = part.toPandas()  # about QUERY_BLOCK rows
         if block.empty:
             continue
         dim = max((len(v) for v in block["v"] if v is not None), default=0)
+        shared = corpus.sparkSession.sparkContext.broadcast((_unit_rows(block["v"].tolist(), dim), block["query_id"].to_numpy()))  # QUERY_BLOCK vectors
 
-        def units(rows: list, dim: int = dim) -> np.ndarray:
-            out = np.zeros((len(rows), dim))
-            for i, v in enumerate(rows):
-                if v is not None and len(v) == dim:
-                    out[i] = v
-            n = np.linalg.norm(np.nan_to_num(out), axis=1)
-            return np.nan_to_num(out) / np.where(n > 0, n, 1)[:, None]
-
-        q, names = units(block["v"].tolist()), block["query_id"].to_numpy()
-
-        def scan(batches: Iterator[pd.DataFrame], q=q, names=names, units=units) -> Iterator[pd.DataFrame]:
-            best = None
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, dim=dim) -> Iterator[pd.DataFrame]:
+            q, names = shared.value
+            best, step = _Best(len(q), k), max(1, TILE // len(q))
             for pdf in batches:
-                scores = q @ units(pdf["v"].tolist()).T
-                n = np.repeat(np.arange(len(q)), len(pdf))
-                rows = pd.DataFrame({"q": n, "id": np.tile(pdf["id"].to_numpy(), len(q)), "score": scores.ravel()})
-                if len(pdf) > 4 * k:  # only what can be among the k best, ties included
-                    least = np.partition(scores, -k, axis=1)[:, -k]
-                    rows = rows[(np.round(scores, 9) >= np.round(least, 9)[:, None]).ravel()]
-                best = rows if best is None else pd.concat((best, rows))
-                best = best.assign(r=best["score"].round(9)).sort_values(["q", "r", "id"], ascending=[True, False, True]).groupby("q").head(k).drop(columns="r")
-            if best is not None:
-                yield pd.DataFrame({"query_id": names[best["q"].to_numpy()], "id": best["id"], "score": best["score"]})
-
-        rows = ids.mapInPandas(scan, schema)
+                for at in range(0, len(pdf), step):
+                    part = pdf.iloc[at : at + step]
+                    best.add(q @ _unit_rows(part["v"].tolist(), dim).T, part["id"].to_numpy(dtype=object))
+            best.settle()
+            yield pd.DataFrame({"query_id": names[best.q], "id": best.ids, "score": best.scores})
+
+        rows = ids.mapInPandas(scan, f"query_id {dict(queries.dtypes)[query_id]}, id {types[id_col]}, score double")
         found = rows if found is None else found.unionByName(rows)
     if found is None:
-        found = ids.limit(0).mapInPandas(lambda b: iter(()), schema)
+        found = ids.limit(0).mapInPandas(lambda b: iter(()), f"query_id {dict(queries.dtypes)[query_id]}, id {types[id_col]}, score double")
     out = top(found, k, ["query_id"])
     return out if min_score is None else out.where(F.col("score") >= min_score)
 
 
 def bm25_index(docs: DataFrame, id_col: str = "id", text: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings term, id, tf, dl; terms term, df; totals n, avgdl, one row). Null texts are documents without terms."""
+    """(tokens id, t; terms term, df; totals n, avgdl, one row). Null texts are documents without terms. Terms are counted once per document before anything moves."""
     tokens = docs.select(F.col(id_col).alias("id"), split_tokens(F.col(text)).alias("t"))
-    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    postings = tokens.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), totals
+    totals = tokens.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("avgdl"))
+    terms = tokens.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return tokens, terms, totals
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 5, query_id: str = "query_id", query: str = "query_text", id_col: str = "id", text: str = "content", k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, min_score: float | None = None) -> DataFrame:
     """query_id, id, score, rank. Repeated query terms count repeatedly; a negative idf becomes epsilon times the mean idf.
 
     Documents without any query term score 0 and fill up to k places by id, unless
-    min_score leaves them out. The postings of the queries' terms join the terms by
-    hash; a term's postings spread over its documents, and sums are combined before
-    the shuffle.
+    min_score leaves them out. The weighted terms of a block of QUERY_BLOCK queries go
+    to every task; a task scores its documents in tiles and keeps k of them per query.
+    So postings never move, and a frequent term costs its additions, not rows.
     """
-    postings, terms, totals = bm25_index(docs, id_col, text)
+    tokens, terms, totals = bm25_index(docs, id_col, text)
     idf = terms.crossJoin(totals).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # totals: one row
     mean = idf.agg((F.avg("idf") * epsilon).alias("floor"))
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(split_tokens(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    weights = asked.join(idf, "term").crossJoin(mean).withColumn("w", F.col("qf") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")))  # mean: one row
-    part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = weights.select("query_id", "term", "w", "avgdl").join(postings, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    named = queries.select(F.col(query_id).alias("query_id"), F.explode(split_tokens(F.col(query))).alias("term"))
+    schema = f"query_id {dict(queries.dtypes)[query_id]}, id {dict(docs.dtypes)[id_col]}, score double"
+    avgdl = totals.first()["avgdl"] or 1.0  # one row
+    scored = None
+    for part in _blocks(named):
+        asked = part.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+        weights = asked.join(idf, "term").crossJoin(mean).select("query_id", "term", (F.col("qf") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("w"))  # mean: one row
+        block = weights.toPandas()  # the terms of about QUERY_BLOCK queries
+        if block.empty:
+            continue
+        codes, names = pd.factorize(block["query_id"])
+        by_term = {t: (codes[at], block["w"].to_numpy()[at]) for t, at in block.groupby("term").indices.items()}
+        shared = docs.sparkSession.sparkContext.broadcast((by_term, np.asarray(names)))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            by_term, names = shared.value
+            best, step = _Best(len(names), k), max(1, TILE // len(names))
+            for pdf in batches:
+                for at in range(0, len(pdf), step):
+                    part = pdf.iloc[at : at + step]
+                    scores = np.zeros((len(names), len(part)))
+                    hit = np.zeros(scores.shape, dtype=bool)
+                    postings: dict[str, dict[int, int]] = {}
+                    for d, words in enumerate(part["t"]):
+                        for w in words:
+                            if w in by_term:
+                                held = postings.setdefault(w, {})
+                                held[d] = held.get(d, 0) + 1
+                    length = 1 - b + b * np.array([len(x) for x in part["t"]]) / avgdl
+                    for w, held in postings.items():
+                        q, weight = by_term[w]
+                        d, tf = np.fromiter(held, dtype=np.int64), np.fromiter(held.values(), dtype=np.float64)
+                        cells = np.ix_(q, d)
+                        scores[cells] += weight[:, None] * (tf * (k1 + 1) / (tf + k1 * length[d]))
+                        hit[cells] = True
+                    best.add(scores, part["id"].to_numpy(dtype=object), hit)
+            best.settle()
+            yield pd.DataFrame({"query_id": names[best.q], "id": best.ids, "score": best.scores})
+
+        rows = tokens.mapInPandas(scan, schema)
+        scored = rows if scored is None else scored.unionByName(rows)
+    if scored is None:
+        scored = tokens.limit(0).mapInPandas(lambda b: iter(()), schema)
     if min_score is None:
+        scored = top(scored, k, ["query_id"]).drop("rank")
         first = docs.select(F.col(id_col).alias("id")).orderBy("id").limit(2 * k)
         zero = queries.select(F.col(query_id).alias("query_id")).distinct().join(F.broadcast(first))  # 2k rows a query
         scored = scored.unionByName(zero.join(scored.select("query_id", "id"), ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0)))
@@ -153,9 +238,10 @@ def ends_first(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("_key", key).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("_key"))).drop("_key")
 
 
-def context_blocks(ranked: DataFrame, header: Column, order: str = "rank", sep: str = "\n\n", text: str = "content") -> DataFrame:
-    """query_id, context: numbered blocks of header and stripped content, joined. A ranked list is short, so one row holds it."""
-    block = F.struct(F.col(order).alias("o"), F.concat(header, F.lit("\n"), F.trim(F.col(text))).alias("b"))
+def context_blocks(ranked: DataFrame, header: Column, order: str = "rank", sep: str = "\n\n", text: str = "content", trimmed: bool = True) -> DataFrame:
+    """query_id, context: numbered blocks of header and (trimmed) content, joined. A ranked list is short, so one row holds it."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    block = F.struct(F.col(order).alias("o"), F.concat(header, F.lit("\n"), F.trim(body) if trimmed else body).alias("b"))
     return ranked.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(block)), lambda x: x["b"]), sep).alias("context"))
 
 

@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.quantiles import exact_quantiles, joined_quantiles, widened
+
+#: Windows that are numbered together when runs are found.
+EDGE = 1 << 14
+
 
 def latency_stats(df: DataFrame, value: str, by: list[str] | None = None, digits: int = 2) -> DataFrame:
-    """n, exact p50, p90, p95, p99 (linear interpolation), mean and max, rounded; null and NaN are left out. For unbounded columns use sketches instead."""
+    """n, exact p50, p90, p95, p99 (linear interpolation), mean and max, rounded; null and NaN are left out. df is read four times, so store what is dear to compute."""
+    by = by or []
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).withColumn("_v", v)
-    p = F.expr("percentile(_v, array(0.5, 0.9, 0.95, 0.99))")
-    out = (rows.groupBy(*by) if by else rows.groupBy()).agg(F.count(F.lit(1)).alias("n"), p.alias("_p"), F.round(F.avg("_v"), digits).alias("mean"), F.round(F.max("_v"), digits).alias("max"))
-    return out.select(*(by or []), "n", *[F.round(F.col("_p")[i], digits).alias(f"p{q}") for i, q in enumerate((50, 90, 95, 99))], "mean", "max")
+    out = (rows.groupBy(*by) if by else rows.groupBy()).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("_v"), digits).alias("mean"), F.round(F.max("_v"), digits).alias("max"))
+    names = {0.5: "p50", 0.9: "p90", 0.95: "p95", 0.99: "p99"}
+    q = widened(exact_quantiles(rows, by, "_v", tuple(names)), by, names, digits)
+    return joined_quantiles(out, q, by).select(*by, "n", *names.values(), "mean", "max")
 
 
 def slo(df: DataFrame, good: Column, target: float = 99.5, by: list[str] | None = None) -> DataFrame:
@@ -61,13 +68,13 @@ def triage(logs: DataFrame, latency: str, failed: Column, order: str, most: int
     return rows.withColumn("culprit", slowest_span(default_spans(F.coalesce(F.col(latency), F.lit(0.0)), threshold), F.coalesce(F.col(latency), F.lit(0.0))))
 
 
-def panel(logs: DataFrame, ts: str, latency: str, failed: Column, width: str = "1 minute") -> DataFrame:
-    """Per window: n, n_errors, error_rate, p95 and mean latency."""
-    rows = logs.withColumn("_bad", F.coalesce(failed, F.lit(False)).cast("int"))
-    v = F.col(latency).cast("double")
-    return rows.groupBy(F.window(ts, width).alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_bad").alias("n_errors"), F.round(F.avg("_bad"), 4).alias("error_rate"), F.round(F.expr(f"percentile(`{latency}`, 0.95)"), 6).alias("p95"), F.round(F.avg(v), 6).alias("mean_latency"),
-    ).select(F.col("w.start").alias("window_start"), "n", "n_errors", "error_rate", "p95", "mean_latency")
+def panel(logs: DataFrame, ts: str, latency: str, failed: Column, width: str = "1 minute", sums: dict[str, Column] | None = None, means: dict[str, Column] | None = None) -> DataFrame:
+    """Per window: n, n_errors, error_rate, exact p95 and mean latency, and further sums (cost, tokens) and means (quality) by name."""
+    rows = logs.withColumns({"_bad": F.coalesce(failed, F.lit(False)).cast("int"), "_v": F.col(latency).cast("double"), "window_start": F.window(ts, width)["start"]}).where(F.col("window_start").isNotNull())
+    more = [F.round(F.sum(c), 6).alias(n) for n, c in (sums or {}).items()] + [F.round(F.avg(c), 6).alias(n) for n, c in (means or {}).items()]
+    out = rows.groupBy("window_start").agg(F.count(F.lit(1)).alias("n"), F.sum("_bad").alias("n_errors"), F.round(F.avg("_bad"), 4).alias("error_rate"), F.round(F.avg("_v"), 6).alias("mean_latency"), *more)
+    q = widened(exact_quantiles(rows, ["window_start"], "_v", (0.95,)), ["window_start"], {0.95: "p95"}, 6)
+    return joined_quantiles(out, q, ["window_start"]).select("window_start", "n", "n_errors", "error_rate", "p95", "mean_latency", *(sums or {}), *(means or {}))
 
 
 def cumulative(panel_rows: DataFrame, order: str, value: str, day: Column) -> DataFrame:
@@ -98,11 +105,18 @@ def sessions(events: DataFrame, user: str, ts: str, gap: str = "30 minutes") ->
 def held_breaches(panel_rows: DataFrame, breached: Column, order: str, width_seconds: int, hold_seconds: int, by: Column | None = None) -> DataFrame:
     """Runs of successive breached windows that last at least hold_seconds: run_start, run_end, n_windows. A missing window ends a run.
 
-    Window over the panels of one series (by); panels are few against the events.
+    A breached window begins a run if the one before it isn't breached, and ends one if
+    the one after it isn't. A span of EDGE windows of one series is numbered by itself, and the
+    pieces of a run that crosses spans are joined by their number, so no task sees a
+    whole series.
     """
-    rows = panel_rows.where(F.coalesce(breached, F.lit(False))).withColumn("_by", by if by is not None else F.lit(0)).withColumn("_n", F.floor(F.unix_seconds(F.col(order).cast("timestamp")) / width_seconds))
-    w = Window.partitionBy("_by").orderBy("_n")
-    runs = rows.withColumn("_run", F.col("_n") - F.row_number().over(w)).groupBy("_by", "_run").agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count(F.lit(1)).alias("n_windows"))
+    rows = panel_rows.where(F.coalesce(breached, F.lit(False))).select((by if by is not None else F.lit(0)).alias("_by"), F.col(order).alias("_at"), F.floor(F.unix_seconds(F.col(order).cast("timestamp")) / width_seconds).alias("_n")).dropDuplicates(["_by", "_n"])
+    inside = Window.partitionBy("_by", "_span").orderBy("_n")
+    pieces = rows.withColumn("_span", F.floor(F.col("_n") / EDGE)).withColumn("_piece", F.col("_n") - F.row_number().over(inside)).groupBy("_by", "_span", "_piece").agg(F.min("_n").alias("_first"), F.max("_n").alias("_last"), F.min("_at").alias("_start"), F.max("_at").alias("_end"))
+    # pieces are runs inside a span: far fewer than windows unless every other window is breached
+    over = Window.partitionBy("_by").orderBy("_first")
+    fresh = (F.lag("_last").over(over) != F.col("_first") - 1) | F.lag("_last").over(over).isNull()
+    runs = pieces.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(over)).groupBy("_by", "_run").agg(F.min("_start").alias("run_start"), F.max("_end").alias("run_end"), F.sum(F.col("_last") - F.col("_first") + 1).alias("n_windows"))
     return runs.where(F.col("n_windows") * width_seconds >= hold_seconds).select("run_start", "run_end", "n_windows")
 
 
@@ -120,3 +134,34 @@ def budget_breaches(logs: DataFrame, ts: str, limits: dict[str, tuple[Column, st
     rows = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value"), F.lit(float(b)).alias("limit"), F.lit(kind).alias("kind")) for n, (_, kind, b) in limits.items()])
     broken = F.when(F.col("kind") == "max", F.col("value") > F.col("limit")).otherwise(F.col("value") < F.col("limit"))
     return daily.select("day", F.explode(rows).alias("x")).select("day", "x.*").where(broken).drop("kind")
+
+
+def correlated(metrics: DataFrame, logs: DataFrame, key: str = "correlation_id", latency: str = "latency_ms", spans: str = "payload", threshold: float = 3000.0) -> DataFrame:
+    """Metric rows with their log row and its slowest step: key, the metric's columns, event, error_type, span, duration_ms, share, is_assumed.
+
+    logs has the key, latency, event, error_type, tool_name and a JSON payload whose
+    "spans" maps steps to milliseconds; without it the steps are assumed from latency
+    and tool. A key's first log row by ts counts; metrics without a log row keep nulls.
+    """
+    first = logs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(F.col(latency).alias("ms"), "event", "error_type", "tool_name", F.col(spans).alias("payload")), F.struct("ts", F.xxhash64(latency, "event"))).alias("_log"))
+    joined = metrics.join(first, F.col(key) == F.col("_key"), "left").withColumn("_ms", F.coalesce(F.col("_log.ms"), F.lit(0.0))).withColumn("_spans", parsed_spans(F.col("_log.payload")))
+    known = F.coalesce(F.size("_spans"), F.lit(0)) > 0
+    tool = F.coalesce("_log.tool_name", F.lit("retrieval"))
+    assumed = F.when(F.col("_ms") > threshold, F.create_map(tool, F.col("_ms") * 0.85, F.lit("generation"), F.col("_ms") * 0.15)).otherwise(F.create_map(F.lit("generation"), F.col("_ms") * 0.9))
+    culprit = slowest_span(F.when(known, F.col("_spans")).otherwise(assumed), F.col("_ms"))
+    some = F.col("_log").isNotNull()
+    out = joined.withColumn("_c", culprit)
+    return out.select(*[F.col(f"`{c}`") for c in metrics.columns], F.col("_log.event").alias("event"), F.col("_log.error_type").alias("error_type"), F.when(some, F.col("_c.span")).alias("span"), F.when(some, F.col("_c.duration_ms")).alias("duration_ms"), F.when(some, F.col("_c.share")).alias("share"), F.when(some, ~known).alias("is_assumed"))
+
+
+def parsed_spans(payload: Column) -> Column:
+    """The steps of a log row's payload: map of name to milliseconds, null without any."""
+    return F.from_json(F.get_json_object(payload, "$.spans"), "map<string,double>")
+
+
+def conditions(df: DataFrame, rules: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """name, n_total, n_good, ratio of conditions given as SQL text, one row per (group and) condition; unknown outcomes aren't good, and 1 is the ratio of nothing."""
+    flags = [F.count_if(F.coalesce(F.expr(sql), F.lit(False))).alias(f"_{i}") for i, sql in enumerate(rules.values())]
+    counted = (df.groupBy(*by) if by else df.groupBy()).agg(F.count(F.lit(1)).alias("n_total"), *flags)
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"_{i}").alias("n_good")) for i, name in enumerate(rules)]))
+    return counted.select(*(by or []), "n_total", rows.alias("x")).select(*(by or []), "x.name", "n_total", "x.n_good", F.when(F.col("n_total") > 0, F.round(F.col("x.n_good") / F.when(F.col("n_total") > 0, F.col("n_total")), 6)).otherwise(1.0).alias("ratio"))

@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRADE = "struct<passed boolean, routing_correct boolean, args_correct boolean, n_extra int, mismatch string>"
+FIELDS = ("passed", "routing_correct", "args_correct", "n_extra", "n_missing", "mismatch")
+GRADE = "struct<passed boolean, routing_correct boolean, args_correct boolean, n_extra int, n_missing int, mismatch string>"
 
 
 def normal(value):
@@ -37,28 +38,35 @@ def matched_arguments(expected: dict, actual: dict) -> int:
     return sum(meets(v, actual.get(k)) for k, v in expected.items())
 
 
-def grade_case(expected: list, actual: list, no_tool: bool) -> dict:
-    """Each expected call takes the first unused call of its name that meets all arguments, else the one that meets most."""
-    if no_tool:
-        ok = not actual
-        return {"passed": ok, "routing_correct": ok, "args_correct": ok, "n_extra": len(actual), "mismatch": None if ok else "unexpected_tool_call"}
-    free, routed, args_ok, mismatch = list(range(len(actual))), True, True, None
+def answers(expected: list, actual: list) -> list[int | None]:
+    """For each expected call in turn the number of the actual call that answers it: of the calls of its name not yet taken the first that meets all arguments, else the one that meets most, of equal ones the first."""
+    by_name: dict[str, list[int]] = {}
+    for i, call in enumerate(actual):
+        by_name.setdefault(call.get("name"), []).append(i)
+    out = []
     for want in expected:
-        wanted = want.get("args") or {}
-        same = [i for i in free if actual[i].get("name") == want.get("name")]
-        if not same:
-            routed, args_ok, mismatch = False, False, mismatch or "missing_tool_call"
-            continue
-        counts = {i: matched_arguments(wanted, actual[i].get("args") or {}) for i in same}
-        best = max(same, key=lambda i: (counts[i], -i))
-        if counts[best] < len(wanted):
-            args_ok, mismatch = False, mismatch or "wrong_arguments"
-        free.remove(best)
-    return {"passed": routed and args_ok, "routing_correct": routed, "args_correct": args_ok, "n_extra": len(free), "mismatch": mismatch}
+        open_ = by_name.get(want.get("name"), [])
+        met = [matched_arguments(want.get("args") or {}, actual[i].get("args") or {}) for i in open_]
+        out.append(open_.pop(met.index(max(met))) if open_ else None)
+    return out
+
+
+def grade_case(expected: list, actual: list, no_tool: bool) -> dict:
+    """Routing is right if every expected call has an answer and no call is left over; arguments are right if every expected call has an answer that meets them all.
+
+    mismatch: 'unexpected_tool_call' (none was wanted), else 'wrong_tool_or_count', else 'wrong_argument_values'.
+    """
+    taken = answers([] if no_tool else expected, actual)
+    n_missing = sum(i is None for i in taken)
+    n_extra = len(actual) - (len(taken) - n_missing)
+    met = all(i is not None and matched_arguments(w.get("args") or {}, actual[i].get("args") or {}) == len(w.get("args") or {}) for w, i in zip(expected, taken, strict=True)) if not no_tool else not n_extra
+    routed = not (n_missing or n_extra)
+    mismatch = None if routed and met else "unexpected_tool_call" if no_tool else "wrong_argument_values" if routed else "wrong_tool_or_count"
+    return {"passed": routed and met, "routing_correct": routed, "args_correct": met, "n_extra": n_extra, "n_missing": n_missing, "mismatch": mismatch}
 
 
 def graded(expected: Column, actual: Column, no_tool: Column) -> Column:
-    """struct(passed, routing_correct, args_correct, n_extra, mismatch); null, unreadable and non-list JSON counts as no calls."""
+    """struct(passed, routing_correct, args_correct, n_extra, n_missing, mismatch); null, unreadable and non-list JSON counts as no calls."""
 
     def read(t) -> list:
         try:
@@ -69,16 +77,22 @@ def graded(expected: Column, actual: Column, no_tool: Column) -> Column:
 
     @F.pandas_udf(GRADE)
     def apply(want: pd.Series, got: pd.Series, none: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([grade_case(read(w), read(g), bool(n)) for w, g, n in zip(want, got, none, strict=True)], columns=["passed", "routing_correct", "args_correct", "n_extra", "mismatch"]).astype({"n_extra": "int32"})
+        return pd.DataFrame([grade_case(read(w), read(g), bool(n)) for w, g, n in zip(want, got, none, strict=True)], columns=list(FIELDS)).astype({"n_extra": "int32", "n_missing": "int32"})
 
     return apply(expected, actual, F.coalesce(no_tool, F.lit(False)))
 
 
 def suite(cases: DataFrame, grade: str = "grade", by: list[str] | None = None) -> DataFrame:
-    """n, pass_rate, routing_accuracy, args_accuracy, routing_failure_rate, extra_call_rate (cases with calls that answer nothing)."""
+    """n, n_passed, pass_rate, routing_accuracy, args_accuracy, extra_calls_rate (every routing failure, missing calls included) and unsolicited_rate (cases with calls that answer nothing)."""
     share = lambda c: F.round(F.avg(c.cast("int")), 4)
     g = F.col(grade)
     return (cases.groupBy(*by) if by else cases.groupBy()).agg(
-        F.count(F.lit(1)).alias("n"), share(g["passed"]).alias("pass_rate"), share(g["routing_correct"]).alias("routing_accuracy"), share(g["args_correct"]).alias("args_accuracy"),
-        share(~g["routing_correct"]).alias("routing_failure_rate"), share(g["n_extra"] > 0).alias("extra_call_rate"),
+        F.count(F.lit(1)).alias("n"), F.count_if(g["passed"]).alias("n_passed"), share(g["passed"]).alias("pass_rate"), share(g["routing_correct"]).alias("routing_accuracy"), share(g["args_correct"]).alias("args_accuracy"),
+        share(~g["routing_correct"]).alias("extra_calls_rate"), share(g["n_extra"] > 0).alias("unsolicited_rate"),
     )
+
+
+def failure_types(cases: DataFrame, grade: str = "grade", kind: Column | None = None) -> DataFrame:
+    """Failed cases per kind (the case's own failure type if given, else the mismatch found): failure_type, n."""
+    rows = cases.where(~F.col(grade)["passed"])
+    return rows.groupBy(F.coalesce(kind if kind is not None else F.col(grade)["mismatch"], F.lit("unknown")).alias("failure_type")).agg(F.count(F.lit(1)).alias("n"))

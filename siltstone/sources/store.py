@@ -18,9 +18,26 @@ def records(chunks: DataFrame, embed=mock_embedding, id_col: str = "id", content
     return chunks.where(~is_blank(F.col(content))).withColumn(metadata, filled).withColumn(embedding, vector)
 
 
-def upsert(store: DataFrame, changes: DataFrame, id_col: str = "id") -> DataFrame:
-    """The store with the changed rows in place of those of the same id; of repeated changes one is kept. Idempotent."""
-    fresh = changes.dropDuplicates([id_col])
+def append(store: DataFrame, rows: DataFrame, content: str = "content") -> DataFrame:
+    """The store with the rows whose content isn't blank added as they are; ids may repeat."""
+    return store.unionByName(rows.where(~is_blank(F.col(content))).select(*store.columns))
+
+
+def size(store: DataFrame) -> DataFrame:
+    """One row: n_rows, n_ids."""
+    return store.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("id").alias("n_ids"))
+
+
+def upsert(store: DataFrame, changes: DataFrame, id_col: str = "id", version: str | None = None) -> DataFrame:
+    """The store with the changed rows in place of those of the same id. Idempotent.
+
+    Of repeated changes the one of the highest version stays; equal versions, or no
+    version column, are told apart by all columns but maps, so the choice is the same
+    every time.
+    """
+    order = [F.col(f"`{c}`") for c in ([version] if version else []) + sorted(c for c, t in changes.dtypes if c not in (id_col, version) and not t.startswith("map"))]
+    row = F.struct(*[F.col(f"`{c}`") for c in changes.columns])
+    fresh = changes.groupBy(F.col(id_col).alias("_id")).agg(F.max_by(row, F.struct(*order)).alias("_row")).select("_row.*")
     return store.join(fresh.select(id_col), id_col, "left_anti").select(*store.columns).unionByName(fresh.select(*store.columns))
 
 

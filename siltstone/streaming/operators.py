@@ -18,9 +18,9 @@ def as_event_time(stream: DataFrame, ts: str, late: str = "10 minutes") -> DataF
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
-def windowed_rates(stream: DataFrame, ts: str, failed: Column, width: str = "1 minute", slide: str | None = None, late: str = "10 minutes", by: list[str] | None = None) -> DataFrame:
-    """n, n_bad and rate per window (sliding if slide is given, such as a rolling service level over '28 days' by '1 day')."""
-    rows = as_event_time(stream, ts, late).withColumn("_bad", F.coalesce(failed, F.lit(False)).cast("int"))
+def windowed_rates(stream: DataFrame, ts: str, failed: Column, width: str = "1 minute", slide: str | None = None, late: str | None = "10 minutes", by: list[str] | None = None) -> DataFrame:
+    """n, n_bad and rate per window (sliding if slide is given, such as a rolling service level over '28 days' by '1 day'). late None: the stream has its watermark already."""
+    rows = (as_event_time(stream, ts, late) if late else stream).withColumn("_bad", F.coalesce(failed, F.lit(False)).cast("int"))
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
     out = rows.groupBy(w.alias("w"), *(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum("_bad").alias("n_bad"), F.round(F.avg("_bad"), 6).alias("rate"))
     return out.select(F.col("w.start").alias("window_start"), *(by or []), "n", "n_bad", "rate")

@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ def test_sentences(spark):
 
 
 def test_windows(spark):
-    assert cut(spark, "ab  cd", C.windows(F.col("t"), 2, 0)) == ["ab", "cd"]
+    assert cut(spark, "ab  cd", C.windows(F.col("t"), 2, 0)) == ["ab", None, "cd"]
     assert cut(spark, "", C.windows(F.col("t"), 2, 0)) == []
 
 
@@ -51,3 +53,39 @@ def test_documents(spark):
 def test_compare(spark):
     rows = {r["strategy"]: r for r in C.compare_strategies(spark.createDataFrame([(1, "")], "id int, t string"), "id", "t").collect()}
     assert rows["by_sentences"]["n_chunks"] == 0 and rows["by_sentences"]["avg_length"] == 0.0
+
+
+def test_blank_windows_keep_their_numbers(spark):
+    docs = spark.createDataFrame([("d", "ab  cd"), ("e", None), ("f", "  ")], "id string, content string")
+    rows = C.chunk_documents(docs, C.windows(F.col("_text"), 2, 0)).select("id", "chunk_index", "n_chunks").collect()
+    assert [tuple(r) for r in rows] == [("d_chunk_0", 0, 2), ("d_chunk_2", 2, 2)]
+
+
+def packed(text, size, separators):
+    """The same by adding up costs part by part."""
+    if len(text) <= size:
+        return [text]
+    while separators and separators[0] and separators[0] not in text:
+        separators = separators[1:]
+    if not separators or not separators[0]:
+        return [text[k : k + size] for k in range(0, len(text), size)]
+    sep, out, run = separators[0], [], []
+    for part in [*text.split(sep), None]:
+        over = part is None or sum(len(x) + len(sep) for x in [*run, part]) > size
+        if over and run:
+            out.append(sep.join(run))
+            run = []
+        if part is not None:
+            if len(part) > size:
+                out.extend(packed(part, size, separators[1:]))
+            else:
+                run.append(part)
+    return [x.strip() for x in out if x.strip()]
+
+
+def test_pieces_against_adding_up():
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "bc", " ", " ", ". ", "\n", "\n\n", "ddddd"]) for _ in range(rng.randrange(0, 40)))
+        size = rng.randrange(1, 25)
+        assert C.pieces(text, size) == (packed(text, size, C.SEPARATORS) if text else [])

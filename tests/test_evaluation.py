@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import metrics as M
 from siltstone.operators import evaluation as E
+from siltstone.operators import toolcalls as TC
 
 
 def arrays(spark, *cols):
@@ -71,3 +72,49 @@ def test_hits_and_numbers(spark):
     assert [r["h"] for r in df.select(E.hit_rate(F.col("r"), F.col("t")).alias("h")).collect()] == [0, 1, 0]
     failed = spark.createDataFrame([(2, False), (1, False), (3, True)], "id int, passed boolean")
     assert [(r["id"], r["failure_id"]) for r in E.numbered_failures(failed, "id").orderBy("id").collect()] == [(1, "F001"), (2, "F002")]
+
+
+def test_every_kind_of_tool_failure():
+    call = lambda name, **args: {"name": name, "args": args}
+    want = [call("a", x=1), call("b", y=["p", "q"])]
+    kinds = {
+        None: [call("b", y=["q", "p", "r"]), call("a", x=1)],
+        "wrong_argument_values": [call("a", x=2), call("b", y=["p", "q"])],
+        "wrong_tool_or_count": [call("a", x=1), call("b", y=["p", "q"]), call("a", x=1)],
+    }
+    for kind, got in kinds.items():
+        g = TC.grade_case(want, got, False)
+        assert g["mismatch"] == kind and g["passed"] == (kind is None)
+    missing = TC.grade_case(want, want[:1], False)
+    assert (missing["routing_correct"], missing["args_correct"], missing["n_missing"], missing["n_extra"]) == (False, False, 1, 0)
+    assert TC.grade_case(want, want, True)["mismatch"] == "unexpected_tool_call" and TC.grade_case([], [], True)["passed"]
+    # the call that meets all arguments is taken, not the first of its name
+    assert TC.grade_case([call("a", x=1), call("a", x=2)], [call("a", x=2), call("a", x=1)], False)["passed"]
+
+
+def test_rows_are_numbered_in_order(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(7)
+    got = {r["k"]: r["n"] for r in E.numbered(rows, "k", ranges=9).collect()}
+    assert got == {k: k + 1 for k in range(1000)}
+    assert E.numbered(rows.limit(0), "k").count() == 0
+
+
+def test_halves_are_counted_not_measured(spark):
+    rows = [(k if k < 10 else 1000 + k, 1.0 if k < 10 else 0.0) for k in range(20)]  # a gap in the places
+    out = E.judge_biases(spark.createDataFrame(rows, "seq long, score double")).first()
+    assert out["is_positional"] and out["half_gap"] == 1.0
+
+
+def test_exact_quantiles_against_numpy(spark):
+    import numpy as np
+
+    from siltstone.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(2)
+    values = {"a": rng.lognormal(3, 2, 20000), "b": np.repeat([1.0, 5.0, 5.0, 9.0], 2500), "c": np.array([4.0]), None: rng.normal(size=37)}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("a", None), ("d", float("nan"))], "g string, v double")
+    got = {(r["g"], r["q"]): r["value"] for r in exact_quantiles(df, ["g"], "v", (0.0, 0.5, 0.95, 1.0)).collect()}
+    assert {k[0] for k in got} == {"a", "b", "c", None}
+    for (g, q), v in got.items():
+        assert abs(v - np.quantile(values[g], q)) < 1e-9
+    assert exact_quantiles(df.limit(0), [], "v", (0.5,)).count() == 0

@@ -73,11 +73,11 @@ def test_block_rates_and_audit(spark):
 def test_tool_calls(spark):
     e = [{"name": "f", "args": {"a": " X ", "l": ["p"]}}, {"name": "f", "args": {"a": "y"}}]
     assert TC.grade_case(e, [{"name": "f", "args": {"a": "Y"}}, {"name": "f", "args": {"a": "x", "l": ["q", "P"]}}], False)["passed"]
-    assert TC.grade_case(e, [{"name": "f", "args": {"a": "x", "l": ["q"]}}], False) == {"passed": False, "routing_correct": False, "args_correct": False, "n_extra": 0, "mismatch": "wrong_arguments"}
+    assert TC.grade_case(e, [{"name": "f", "args": {"a": "x", "l": ["q"]}}], False) == {"passed": False, "routing_correct": False, "args_correct": False, "n_extra": 0, "n_missing": 1, "mismatch": "wrong_tool_or_count"}
     assert TC.grade_case([], [{"name": "f"}], True)["mismatch"] == "unexpected_tool_call"
     df = spark.createDataFrame([("[]", None, True), ('[{"name":"f"}]', "bad json", False), ('[{"name":"f"}]', '[{"name":"f","args":null},{"name":"g"}]', None)], "e string, a string, n boolean")
     s = TC.suite(df.withColumn("grade", TC.graded(F.col("e"), F.col("a"), F.col("n")))).first()
-    assert (s["n"], s["pass_rate"], s["extra_call_rate"]) == (3, 0.6667, 0.3333)
+    assert (s["n"], s["pass_rate"], s["extra_calls_rate"], s["unsolicited_rate"]) == (3, 0.3333, 0.6667, 0.3333)
 
 
 def test_stages_and_budgets(spark):
