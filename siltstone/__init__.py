@@ -6,4 +6,8 @@ The optional subpackage ``siltstone.llm`` holds the training-data operators;
 nothing else imports it.
 """
 
-__version__ = "0.1.0"
+from siltstone import functions, operators, sources, streaming
+from siltstone.settings import Settings
+
+__all__ = ["Settings", "functions", "operators", "sources", "streaming"]
+__version__ = "0.2.0"

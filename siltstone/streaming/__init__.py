@@ -1,0 +1,5 @@
+"""Streaming forms of the log operators."""
+
+from siltstone.streaming import operators
+
+__all__ = ["operators"]
