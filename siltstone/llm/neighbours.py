@@ -43,7 +43,7 @@ class Settings:
     dims: int = 16
     region_rows: int = 40_000
     visitors: int = 120_000
-    leaf_rows: int = 48
+    leaf_rows: int = 128
     miss: float = 0.04
     chi_miss: float = 0.02
     seed: int = 11
@@ -109,7 +109,7 @@ def visited(levels: list[np.ndarray], points: np.ndarray, reach: np.ndarray, mis
     size = max(1, CELLS >> len(levels))
     out = [(np.empty(0, dtype=np.int64),) * 2]
     for start in range(0, len(points), size):
-        rows, least = np.arange(start, min(start + size, len(points))), max(finest, miss / 50)
+        rows, least = np.arange(start, min(start + size, len(points))), max(finest, miss / 400)
         while len(rows):
             at, leaves, enough = _descend(levels, points[rows], reach[rows], miss, least, first, node_reach)
             if least > finest:
@@ -124,25 +124,27 @@ def visited(levels: list[np.ndarray], points: np.ndarray, reach: np.ndarray, mis
 
 def _descend(levels: list[np.ndarray], points: np.ndarray, reach: np.ndarray, miss: float, least: float, first: int, node_reach: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One way down without branches below ``least``: (row, leaf) pairs, and which rows have all but ``miss`` of their mass in them."""
-    rows, node, mass = np.arange(len(points)), np.zeros(len(points), dtype=np.int64), np.ones(len(points), dtype=np.float32)
-    least = np.float32(least)
+    rows, node, mass = np.arange(len(points), dtype=np.int32), np.zeros(len(points), dtype=np.int32), np.ones(len(points), dtype=np.float32)
+    least, reach = np.float32(least), np.maximum(reach, np.float32(1e-6))
     for level, cut in enumerate(levels):
         r = reach[rows] if node_reach is None else np.maximum(reach[rows], node_reach[level][node])
-        lower = mass * _normal_cdf((cut[node] - points[rows, first + level]) / np.maximum(r, np.float32(1e-6)))
+        lower = mass * _normal_cdf((cut[node] - np.ascontiguousarray(points[:, first + level])[rows]) / r)
         upper = mass - lower
-        a, b = lower > least, upper > least
+        a, b = np.flatnonzero(lower > least), np.flatnonzero(upper > least)
         rows, node, mass = np.concatenate((rows[a], rows[b])), np.concatenate((node[a] * 2, node[b] * 2 + 1)), np.concatenate((lower[a], upper[b]))
-    order = np.lexsort((-mass, rows))
-    rows, node, mass = rows[order], node[order], mass[order]
+    order = np.argsort(rows - np.minimum(mass, np.float32(1 - 1e-6)).astype(np.float64))  # by row, and from the likeliest down
+    rows, node, mass = rows[order].astype(np.int64), node[order].astype(np.int64), mass[order]
     total = np.cumsum(mass, dtype=np.float64)
-    start = np.searchsorted(rows, rows, side="left")
-    before = total - mass - np.where(start > 0, total[np.maximum(start - 1, 0)], 0.0)
+    sums = np.bincount(rows, weights=mass, minlength=len(points))
+    before = total - mass - (np.cumsum(sums) - sums)[rows]
     keep = before < 1 - miss
-    return rows[keep], node[keep], np.bincount(rows, weights=mass, minlength=len(points)) >= 1 - miss
+    return rows[keep], node[keep], sums >= 1 - miss
 
 
-#: Cells of a vector that are looked at before its reach is set anew: the likeliest two, the next four, ...
-STEPS = (0, 2, 6, 14, 1 << 30)
+#: Cells of a vector that are looked at before its reach is set anew: the likeliest four, then the rest.
+STEPS = (0, 4, 1 << 30)
+#: Asking vectors that are looked after together.
+BLOCK = 16_384
 
 
 def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Settings, first: int, ask_home: bool = True, among: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,19 +175,18 @@ def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Set
     def against(rows: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Verified neighbours of the rows in the cells given; with ask_home also what they are to home vectors."""
         found = [none]
-        order = np.argsort(leaves, kind="stable")
+        order = np.argsort(leaves.astype(np.uint16) if depth <= 16 else leaves, kind="stable")  # short numbers sort by their digits
         rows, leaves = rows[order], leaves[order]
         for part, leaf in zip(np.split(rows, np.flatnonzero(np.diff(leaves)) + 1), leaves[np.flatnonzero(np.r_[True, np.diff(leaves) > 0])] if len(leaves) else (), strict=False):
             there = members[bounds[leaf] : bounds[leaf + 1]]
             if not len(there):
                 continue
-            d = left[part] @ right[there].T
-            limit = (reach[part] ** 2)[:, None]
-            if ask_home:
-                limit = np.maximum(limit, (reach[there] ** 2)[None, :])
-            at = np.flatnonzero((d <= limit * chi + 1e-4).ravel())
+            d = (left[part] @ right[there].T).ravel()
+            most = reach[part].max() if not ask_home else max(reach[part].max(), reach[there].max())
+            at = np.flatnonzero(d <= most * most * chi + 1e-4)
             a, b = part[at // len(there)], there[at % len(there)]
-            different = rank[a] != rank[b]
+            limit = reach[a] if not ask_home else np.maximum(reach[a], reach[b])
+            different = (rank[a] != rank[b]) & (d[at] <= limit * limit * chi + 1e-4)
             a, b = a[different], b[different]
             cos = np.einsum("ij,ij->i", units[a], units[b])
             near = cos >= s.min_similarity - CODE_ERROR
@@ -216,8 +217,8 @@ def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Set
     # First the own cell: it fixes how far each vector still has to look.
     edges = [best(*against(asking, own_leaf[asking]))]
     settle(edges[0][0], edges[0][2])
-    for start in range(0, len(asking), 4096):
-        rows = asking[start : start + 4096]
+    for start in range(0, len(asking), BLOCK):
+        rows = asking[start : start + BLOCK]
         node_reach = None
         if ask_home and depth:  # a cell is also visited for its own vectors that still look further
             leaf_reach = np.zeros(1 << depth, dtype=np.float32)
@@ -226,7 +227,7 @@ def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Set
             while len(node_reach[0]) > 1:
                 node_reach.insert(0, node_reach[0].reshape(-1, 2).max(1))
         r, leaves = visited(levels, all_proj[rows], reach[rows], s.miss, first, node_reach)
-        turn = np.arange(len(r)) - np.searchsorted(r, r, side="left") if (np.diff(r) >= 0).all() else _turns(r)
+        turn = _turns(r)
         of, to, cos = edges[0]
         mine = slice(np.searchsorted(of, rows[0]), np.searchsorted(of, rows[-1], side="right"))
         block = (of[mine], to[mine], cos[mine])
@@ -242,6 +243,8 @@ def search_region(units: np.ndarray, names: np.ndarray, home: np.ndarray, s: Set
 
 def _turns(rows: np.ndarray) -> np.ndarray:
     """The how-manyth of its row each entry is."""
+    if (np.diff(rows) >= 0).all():
+        return np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
     order = np.argsort(rows, kind="stable")
     out = np.empty(len(rows), dtype=np.int64)
     out[order] = np.arange(len(rows)) - np.searchsorted(rows[order], rows[order], side="left")
