@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import defects, languages, leaks, mixing, neighbours, percentiles, pii
-from siltstone.session import drawn, stored, table
+from siltstone.session import stored, table
 
 GROUPS = ["deployment", "event"]
 #: Labelled documents that the language model of problem 2 is fitted on, at most.
@@ -41,10 +41,8 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    # the language model is fitted on a bounded sample of documents, drawn from the whole table and spread over as many tasks as there are cores
-    documents = table(spark, d, "documents").select("text", "lang")
-    labelled = drawn(documents, LANGUAGE_SAMPLE, documents.count(), seed=3).repartition(max(2, min(32, spark.sparkContext.defaultParallelism)))
-    return defects.defective_pairs(_pairs(spark, d), languages.fit(labelled)).select("src_table", "record_id", "defect")
+    model = languages.fit(table(spark, d, "documents"), sample=LANGUAGE_SAMPLE)
+    return defects.defective_pairs(_pairs(spark, d), model).select("src_table", "record_id", "defect")
 
 
 def p2_defects(spark: SparkSession, d: str) -> DataFrame:
@@ -141,8 +139,7 @@ def p8_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_segments(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return languages.segments(docs, languages.fit(docs))
+    return languages.segments(table(spark, d, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_search, p2_found, p2_defects, p3_found, p3_masked, p3_surrogates, p4_found, p4_percentiles, p4_event_days, p6_found, p6_spans, p7_found, p7_shares, p8_found, p8_languages, p8_segments)}

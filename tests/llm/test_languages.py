@@ -48,7 +48,7 @@ def test_held_out_sentences(spark, model):
 
 def test_segments_and_empty(spark, model):
     text = TEXT["en"] + "\n" + TEXT["vi"]
-    rows = L.segments(docs(spark, [(text, None), (None, None)]), model).orderBy("segment").collect()
+    rows = L.segments(docs(spark, [(text, None), (None, None)]), model=model).orderBy("segment").collect()
     assert [r["language"] for r in rows] == ["en", "vi"] and text[rows[1]["start_pos"] : rows[1]["end_pos"]].startswith("Người")
     assert L.languages(docs(spark, [(text, "en")]).limit(0), model=model).count() == 0
 
@@ -56,3 +56,34 @@ def test_segments_and_empty(spark, model):
 def test_long_text_in_groups(model):
     pieces = ["a" * 400_000, "b c d " * 10]
     assert list(L.groups(pieces)) == [slice(0, 1), slice(1, 2)] and model.scores(pieces).shape == (2, 6)
+
+
+def test_markup_tells_where_the_text_does_not(spark, model):
+    marked = '<p lang="{}">xkcd 77</p>'
+    rows = [(f'<html xml:lang="{c}"><p>{t}</p>', None) for c, t in TEXT.items() for _ in range(40)] + [(marked.format("de-AT"), None), (marked.format("fr"), None), ("<p>xkcd 77</p>", None)]
+    got = {r["doc_id"]: r for r in L.languages(docs(spark, rows), model=model).collect()}
+    n = 40 * len(TEXT)
+    assert got[n]["language"] == "de" and got[n + 1]["language"] == "fr" and got[n]["confidence"] > got[n + 2]["confidence"]
+    codes = spark.createDataFrame([(t,) for t in (marked.format("en_US"), "lang=de", "<a hreflang='fr'>x</a>", None, "<div class=x XML:LANG='pt'>")], "t string").select(L.markup_language(F.col("t")).alias("c")).collect()
+    assert [r["c"] for r in codes] == ["en", None, None, None, "other"]
+
+
+def test_a_text_in_none_of_the_languages_is_other(spark):
+    import random
+
+    words = {c: t.replace(".", "").replace(",", "").split() for c, t in TEXT.items()}
+    rng = random.Random(1)
+    rows = [(" ".join(rng.choice(words[c]) for _ in range(12)) + ".", c) for c in TEXT for _ in range(120)]
+    model = L.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.floor > float("-inf") and 0 < model.sharpness <= 1
+    other = "Ügyfeleink többsége gyorsabban válaszol, ha rövid kérdést teszünk föl nekik. Holnap újra próbáljuk."
+    got = [r["language"] for r in L.languages(docs(spark, [(other, None), (" ".join(words["es"]) + ".", None)]), model=model).orderBy("doc_id").collect()]
+    assert got == ["other", "es"]
+    assert L.label_issues(L.languages(docs(spark, [(other, None)]), model=model)).count() == 0
+
+
+def test_sentences_of_a_mixed_text_follow_the_host_loosely(spark, model):
+    text = TEXT["en"] + "\n" + TEXT["vi"]
+    rows = [(TEXT["en"], "en")] * 40 + [(text, "en")]
+    got = [r for r in L.languages(docs(spark, rows), model=model).collect() if r["doc_id"] == 40][0]
+    assert set(got["present"]) == {"en", "vi"}
