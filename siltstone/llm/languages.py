@@ -353,11 +353,13 @@ def fused(docs: DataFrame, id_col: str = "doc_id", text: str = "text", label: st
     suffixes = (
         evidence.where(F.size("suffixes") > 0).select(id_col, F.explode("suffixes").alias("suffix")).distinct().join(suffix, "suffix").groupBy(F.col(id_col).alias("_id")).agg(*[F.sum(F.col("of_suffix")[k]).alias(f"_x{k}") for k in range(n)])
     )
+    # only texts with addresses move for them
+    bare = evidence.where(F.size("suffixes") == 0).select("*", *[F.lit(0.0).alias(f"_x{k}") for k in range(n)])
+    with_suffixes = evidence.where(F.size("suffixes") > 0).join(suffixes, F.col(id_col) == F.col("_id"), "left").drop("_id").unionByName(bare)
     joined = (
-        evidence.join(priors, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_source").eqNullSafe(F.col("_hs")), "left")
+        with_suffixes.join(priors, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_source").eqNullSafe(F.col("_hs")), "left")
         .join(labels, F.col("_label").eqNullSafe(F.col("_l")), "left")
         .join(markups, F.col("_markup") == F.col("_m"), "left")
-        .join(suffixes, F.col(id_col) == F.col("_id"), "left")
     )
     zero = F.lit(0.0)
     log_prior = F.array(*[F.coalesce(F.log(F.col("prior")[k]), zero) + F.coalesce(F.col("of_label")[k], zero) + F.coalesce(F.col("of_markup")[k], zero) + F.coalesce(F.col(f"_x{k}"), zero) for k in range(n)])
