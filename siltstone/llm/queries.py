@@ -61,8 +61,14 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+def _pseudonymised(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of personal information with its surrogate."""
+    return pii.pseudonymised(stored(pii.personal_information(_texts(spark, d)), "pii"), SURROGATE_KEY)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.personal_information(_texts(spark, d)).drop("piece")
+    """The places that surrogates replace."""
+    return _pseudonymised(spark, d).select("src_table", "record_id", "pii_type", "start_pos", "end_pos").distinct()
 
 
 def p3_masked(spark: SparkSession, d: str) -> DataFrame:
@@ -73,9 +79,7 @@ def p3_masked(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_surrogates(spark: SparkSession, d: str) -> DataFrame:
     """All texts with keyed, type-consistent surrogates in place of personal information."""
-    texts = _texts(spark, d).distinct()
-    found = stored(pii.personal_information(texts), "pii")
-    return pii.replaced(texts, found, pii.surrogates(found, SURROGATE_KEY))
+    return pii.replaced(_texts(spark, d).distinct(), _pseudonymised(spark, d))
 
 
 # Problem 4

@@ -80,3 +80,68 @@ def test_surrogates_stay_distinct(spark):
 def test_keys_differ():
     assert P.surrogate("Ada Marwick", "name", "k1") != P.surrogate("Ada Marwick", "name", "k2")
     assert P.surrogate("QQ 12 34 56 C", "id_number", "k").count(" ") == 4
+
+
+def test_script_gender_and_format():
+    for piece in ("Иван Петров", "René Müller", "王伟", "Ελένη Παπά", "Trần Văn Nam", "O'Brien"):
+        made = P.surrogate(piece, "name", "k")
+        assert made != piece and len(made.split()) == len(piece.split())
+        assert [P.script(w) for w in made.split()] == [P.script(w) for w in piece.split()]
+        assert [w[0].isupper() for w in made.split()] == [w[0].isupper() for w in piece.split()]
+    assert P.is_vietnamese(P.surrogate("Trần Thị Hoa", "name", "k")) and P.surrogate("Trần Thị Hoa", "name", "k").split()[1] == "Thị"
+    assert not P.surrogate("René", "name", "k").isascii() and not P.is_vietnamese(P.surrogate("René Müller", "name", "k"))
+    assert P.surrogate_word("robin", "k", sex="f").endswith("a") and not P.surrogate_word("robin", "k", sex="m").endswith("a")
+    assert P.gender("Frau Müller kam", 5) == "f" and P.gender("Mr. Brook", 4) == "m" and P.gender("Dr. Brook", 4) is None
+    shape = lambda t: "".join("0" if c.isdigit() else "a" if c.isalpha() else c for c in t)
+    for piece, kind in (("+84 912 345 678", "phone"), ("(030) 123-4567", "phone"), ("QQ 12 34 56 C", "id_number"), ("666-12-1234", "id_number")):
+        made = P.surrogate(piece, kind, "k")
+        assert made != piece and shape(made) == shape(piece)
+    mail = P.surrogate("a.b7 (at) mail (dot) org", "email", "k")
+    assert mail.count("(at)") == 1 and mail.endswith("(dot) example") and P._EMAIL.fullmatch(mail)
+    home = P.surrogate("554A Fennel Street, Flat 12, Quessin", "address", "k")
+    assert "Street, Flat" in home and "Fennel" not in home and "Quessin" not in home and shape(home)[:4] == "000a"
+
+
+def test_mentions_of_one_entity_agree():
+    for a, b in (("+84 912 345 678", "0912 345 678"), ("+84 912 345 678", "0084-912-345-678"), ("(+49) 30 1234567", "030 1234567")):
+        assert P.entity(a, "phone") == P.entity(b, "phone")
+        one, two = (P.surrogate(x, "phone", "k") for x in (a, b))
+        assert P.entity(one, "phone") == P.entity(two, "phone") and one[:3] == a[:3] and two[:1] == b[:1]
+    assert P.entity("a@x.org", "email") == P.entity("A (at) x (dot) org", "email")
+    assert P.surrogate("nguyen", "name", "k") == P.folded(P.surrogate("nguyen", "name", "k"))
+
+
+def test_one_word_in_two_spellings(spark):
+    rows = [("t", "1", "name", 0, 1, "Nguyễn Văn An", None), ("t", "2", "name", 0, 1, "Nguyen", None), ("t", "3", "name", 0, 1, "NGUYỄN", "f")]
+    hits = spark.createDataFrame(rows, "src_table string, record_id string, pii_type string, start_pos int, end_pos int, piece string, gender string")
+    by = {r["piece"]: r["surrogate"] for r in P.surrogates(hits, "k").collect()}
+    family = by["Nguyễn Văn An"].split()[0]
+    assert by["NGUYỄN"] == family.upper() and by["Nguyen"].lower() == P.folded(family) and by["Nguyễn Văn An"].split()[1] == "Văn"
+
+
+def test_names_in_other_scripts(model):
+    assert found("We met Dr. Петров and Mr 王伟 there.", model) == [("name", "Петров"), ("name", "王伟")]
+
+
+def test_two_texts_under_one_id(spark, model):
+    rows = spark.createDataFrame([("t", "1", "Mail a@b.org now"), ("t", "1", "Call +84 416 626 533, mail c@d.org")], "src_table string, record_id string, text string")
+    got = {r["text"] for r in P.replaced(rows, P.personal_information(rows, model)).collect()}
+    assert got == {"Mail [EMAIL] now", "Call [PHONE], mail [EMAIL]"}
+
+
+def test_digits_are_shuffled_one_to_one():
+    for n in (1, 2, 3, 5):
+        made = {P.shuffled_digits(str(i).zfill(n), "k", "x") for i in range(10**min(n, 4))}
+        assert len(made) == 10 ** min(n, 4)
+
+
+def test_triggers_never_hide_a_match():
+    texts = LEARN + ["Ship to 1 Elm St, Quessin", "sozialversicherungsnummer 12 345678 A 901", "Best regards,\nAda Marwick", "Ada Marwick asked for it", "x [at] host [dot] org"]
+    every = P._triggers()
+    for text in texts:
+        kinds = every(text.lower())
+        for kind, pattern in (("email", P._EMAIL), ("id", P._ID_START), ("intro", P._INTRO), ("closing", P._CLOSING), ("before", P._BEFORE), *((f"address{k}", p) for k, p in enumerate(P._ADDRESSES))):
+            assert kind in kinds or not pattern.search(text)
+    for words, pattern in ((P.ID_WORDS, P._ID_START),):
+        for w in ("CCCD", "ID card", "id-card", "id_number", "ID number", "idnumber", "identity no", "insurance reference", "steuer-id", "carte d’identité", "NIK"):
+            assert "id" in every(w.lower()) and pattern.search(w)
