@@ -33,7 +33,7 @@ SPACE = 1 << 16
 #: Pairs that the classifier is fitted on, at most; everything else covers all rows.
 SAMPLE = 4_000
 #: Hashed word and word-pair counts of the corpus.
-COUNTS = 1 << 18
+COUNTS = 1 << 20
 #: Lowest threshold tried for a label; 0.3 for the others. Clean answers can share the words of refusals.
 RANGE = {"refusal": 0.5}
 #: Pairs that are looked at together in a task.
@@ -193,9 +193,9 @@ class Corpus:
         flat, owner = known.of([tokens(q) for q in questions])
         if len(flat):
             once = np.unique((owner << 32) | known.plain[flat]) & 0xFFFFFFFF
-            self.asked += np.bincount(_joint(once), minlength=COUNTS)
+            np.add.at(self.asked, _joint(once), 1)
         short = [bare(a) for a in answers if len(a) < 80]
-        self.whole += np.bincount(_joint(np.array([_hash(x) for x in short if x], dtype=np.int64)), minlength=COUNTS)
+        np.add.at(self.whole, _joint(np.array([_hash(x) for x in short if x], dtype=np.int64)), 1)
         flat, _ = known.of([_MARKED.findall(_DIGITS.sub("0", "\n".join(map(prose, answers)).lower()) + "\n")])
         mark = known.mark[flat]
         closed = mark[mark > 0] == 1  # per sentence, whether it is finished
@@ -206,13 +206,13 @@ class Corpus:
         h, owner = known.hash[flat[use]], sentence[use]
         same = owner[1:] == owner[:-1]
         last = np.append(~same, True)
-        self.words += np.bincount(_joint(h), minlength=COUNTS)
-        self.ends += np.bincount(_joint(h[last]), minlength=COUNTS)
+        np.add.at(self.words, _joint(h), 1)
+        np.add.at(self.ends, _joint(h[last]), 1)
         pair = _joint(h[:-1], h[1:])
-        self.pairs += np.bincount(pair[same], minlength=COUNTS)
-        self.pair_ends += np.bincount(pair[same & last[1:]], minlength=COUNTS)
+        np.add.at(self.pairs, pair[same], 1)
+        np.add.at(self.pair_ends, pair[same & last[1:]], 1)
         triple = same[1:] & same[:-1] & last[2:]
-        self.pair_ends += np.bincount(_joint(h[:-2], h[1:-1], h[2:])[triple], minlength=COUNTS)
+        np.add.at(self.pair_ends, _joint(h[:-2], h[1:-1], h[2:])[triple], 1)
 
     def rare(self, word: str) -> bool:
         return self.words[_joint(_hash(word))] < 3

@@ -30,10 +30,12 @@ ITEM_CHARS = 8_000_000
 
 @dataclass(frozen=True)
 class Passage:
-    """words: successive item words of the shortest passage; one in ten of any passage may be altered. phrase: length of the exact phrases searched; every passage holds one, as 16 words with one altered have a run of 8, 20 with two a run of 6."""
+    """words: successive item words of the shortest passage; one in ten of any passage may be altered. phrase: length of the exact phrases searched; every passage holds one, as 16 words with one altered have a run of 8, 20 with two a run of 6. seed: shortest run of words that counts once a phrase has been found, so near its diagonal (shift: words dropped or added)."""
 
     words: int = 16
     phrase: int = 5
+    seed: int = 3
+    shift: int = 2
 
 
 class FMIndex:
@@ -124,7 +126,9 @@ class Items:
     texts: list[np.ndarray]
     ids: list
     phrases: np.ndarray
-    places: list[list[tuple[int, int]]]
+    first: np.ndarray  # where each phrase's places begin in the next two, and where the last ones end
+    place_item: np.ndarray
+    place_at: np.ndarray
 
     @classmethod
     def of(cls, rows: list, p: Passage) -> Items:
@@ -139,7 +143,9 @@ class Items:
             for i in range(len(words) - p.phrase + 1):
                 places[tuple(texts[-1][i : i + p.phrase].tolist())].append((len(ids) - 1, i))
         keys = list(places)
-        return cls(number, texts, ids, np.array(keys, dtype=np.int64).reshape(-1, p.phrase), [places[k] for k in keys])
+        flat = np.array([x for k in keys for x in places[k]], dtype=np.int64).reshape(-1, 2)
+        first = np.cumsum([0, *(len(places[k]) for k in keys)])
+        return cls(number, texts, ids, np.array(keys, dtype=np.int64).reshape(-1, p.phrase), first, flat[:, 0], flat[:, 1])
 
     @property
     def bits(self) -> int:
@@ -160,13 +166,15 @@ def _clean_windows(hit: np.ndarray, p: Passage) -> np.ndarray:
 def passages(doc: np.ndarray, item: np.ndarray, diagonals: set[int], p: Passage) -> list[tuple[int, int]]:
     """Spans (word positions of doc) of passages. Sentences may have changed places, so stretches of several diagonals add up."""
     found = np.full(len(item), -1, dtype=np.int64)
-    for d in sorted(diagonals):
-        i = np.arange(max(0, -d), min(len(item), len(doc) - d))
-        same = i[doc[i + d] == item[i]]
-        # a stretch has no two altered words in a row and is at least a phrase long; lone matches between other words don't count
-        for stretch in np.split(same, np.flatnonzero(np.diff(same) > 2) + 1):
-            if len(stretch) >= p.phrase:
-                found[stretch] = np.where(found[stretch] < 0, stretch + d, found[stretch])
+    near = sorted({d + k for d in diagonals for k in range(-p.shift, p.shift + 1)} - diagonals)
+    for least, some in ((p.phrase, sorted(diagonals)), (p.seed, sorted(diagonals)), (p.seed, near)):  # whole phrases first, then shorter runs beside them
+        for d in some:
+            i = np.arange(max(0, -d), min(len(item), len(doc) - d))
+            same = i[doc[i + d] == item[i]]
+            # a stretch has no two altered words in a row; lone matches between other words don't count
+            for stretch in np.split(same, np.flatnonzero(np.diff(same) > 2) + 1):
+                if len(stretch) >= least:
+                    found[stretch] = np.where(found[stretch] < 0, stretch + d, found[stretch])
     hit = found >= 0
     at = np.sort(found[_clean_windows(hit, p) & hit])
     if not len(at):
@@ -187,9 +195,18 @@ def search_shard(ids: list, docs: list[tuple[np.ndarray, list[tuple[int, int]]]]
     number, position = FMIndex(np.concatenate(pieces), items.bits).find(items.phrases)
     doc_of = np.searchsorted(np.array(starts), position, side="right") - 1
     diagonals: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, doc, pos in zip(number.tolist(), doc_of.tolist(), position.tolist(), strict=True):
-        for item, i in items.places[k]:
-            diagonals[doc, item].add(pos - starts[doc] - i)
+    many = items.first[number + 1] - items.first[number]  # items that hold the phrase found
+    cuts = np.searchsorted(np.cumsum(many), np.arange(1 << 20, many.sum() + (1 << 20), 1 << 20)) if len(many) else []
+    start = 0
+    for stop in [*(int(c) + 1 for c in cuts), len(number)]:  # a frequent phrase of many items is gone through in parts
+        k, times = number[start:stop], many[start:stop]
+        if len(k):
+            place = np.repeat(items.first[k] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            doc, pos = np.repeat(doc_of[start:stop], times), np.repeat(position[start:stop], times)
+            rows = np.unique(np.stack((doc, items.place_item[place], pos - np.array(starts)[doc] - items.place_at[place]), axis=1), axis=0)
+            for d, item, diagonal in rows.tolist():
+                diagonals[d, item].add(diagonal)
+        start = max(start, min(stop, len(number)))
     for (doc, item), ds in diagonals.items():
         numbers, spans = docs[doc]
         for a, b in passages(numbers, items.texts[item], ds, p):
@@ -243,9 +260,9 @@ def removal_spans(found: DataFrame) -> DataFrame:
     grouped = found.groupBy("doc_id").agg(spans.alias("s"))  # passages of one document
     merge = F.aggregate(
         "s",
-        F.expr("cast(array() as array<struct<start_pos:int,end_pos:int,item_ids:array<bigint>>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end_pos"] >= x["start_pos"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start_pos"].alias("start_pos"), F.greatest(F.element_at(acc, -1)["end_pos"], x["end_pos"]).alias("end_pos"), F.array_union(F.element_at(acc, -1)["item_ids"], F.array(x["item_id"].cast("bigint"))).alias("item_ids"))))).otherwise(
-            F.concat(acc, F.array(F.struct(x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), F.array(x["item_id"].cast("bigint")).alias("item_ids"))))
+        F.array().cast(f"array<struct<start_pos:int,end_pos:int,item_ids:array<{dict(found.dtypes)['item_id']}>>>"),
+        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end_pos"] >= x["start_pos"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start_pos"].alias("start_pos"), F.greatest(F.element_at(acc, -1)["end_pos"], x["end_pos"]).alias("end_pos"), F.array_union(F.element_at(acc, -1)["item_ids"], F.array(x["item_id"])).alias("item_ids"))))).otherwise(
+            F.concat(acc, F.array(F.struct(x["start_pos"].alias("start_pos"), x["end_pos"].alias("end_pos"), F.array(x["item_id"]).alias("item_ids"))))
         ),
     )
     # element_at fails on an empty array under ANSI rules, so the condition above must not be evaluated for it

@@ -9,13 +9,15 @@ no source is ever a whole block ahead of or behind its share.
 from __future__ import annotations
 
 import heapq
+import math
+from collections import Counter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.tokens import VOCABULARY, token_count
 
-#: Slots of the whole schedule: the mix is cut into so many blocks, so the schedule is small at every size.
+#: Slots of one period of the schedule, which is small at every size; finer blocks come from more periods.
 SLOTS = 10_000
 #: Documents of one (source, bucket) in the running sums.
 BUCKET_DOCS = 20_000
@@ -53,15 +55,17 @@ def supply(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def schedule(weights: dict[str, float], slots: int = SLOTS) -> list[tuple[str, int]]:
     """Slot -> (source, number of its block), by earliest Pfair deadline. weights need not sum to 1; sources of weight 0 get no slot.
 
-    Blocks are apportioned to whole slots first (largest remainder), so the
-    schedule ends with every lag at 0. Ties of deadlines go to the earlier
+    Blocks are apportioned to whole slots first (largest remainder, and at least one
+    for each source), so the schedule ends with every lag at 0. Ties of deadlines go to the earlier
     release, then to the name.
     """
     total = sum(weights.values())
     if total <= 0 or slots <= 0:
         return []
     exact = {s: w / total * slots for s, w in weights.items() if w > 0}
-    n = {s: int(x) for s, x in exact.items()}
+    n = {s: max(1, int(x)) for s, x in exact.items()}
+    for _ in range(sum(n.values()) - slots):  # slots that tiny sources took beyond their due
+        n[max(n, key=lambda s: (n[s] - exact[s] if n[s] > 1 else -1.0, s))] -= 1
     for s in sorted(exact, key=lambda s: (n[s] - exact[s], s))[: slots - sum(n.values())]:
         n[s] += 1
     # integer windows of block j of a source with n blocks: release floor(j * slots / n), deadline ceil((j + 1) * slots / n)
@@ -80,11 +84,13 @@ def schedule(weights: dict[str, float], slots: int = SLOTS) -> list[tuple[str, i
     return out
 
 
-def mix(sizes: DataFrame, targets: DataFrame, slots: int = SLOTS, seed: int = 7) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, slots: int = SLOTS, seed: int = 7, block_tokens: float | None = None) -> DataFrame:
     """The mix itself: slot, place (order inside the slot), doc_id, source, repeat, tokens.
 
-    A document belongs to the block that its first token falls into, so no source
-    deviates from its share by more than a block and a document. Documents follow
+    A source's tokens are cut into equal blocks, about block_tokens each (without it, a
+    slots-th of the mix), and the schedule of ``slots`` slots is gone through as often as
+    that needs. A document belongs to the block that its first token falls into, so no
+    source deviates from its share by more than two blocks and a document. Documents follow
     in an order hashed by seed; no document comes more than max_repeats times.
     Running sums are taken per (source, bucket) and shifted by the sums of the
     buckets before, so that a source with a third of all rows is spread out. The
@@ -93,9 +99,11 @@ def mix(sizes: DataFrame, targets: DataFrame, slots: int = SLOTS, seed: int = 7)
     spark = sizes.sparkSession
     plan = supply(sizes, targets).where(F.col("used") > 0).select("source", "tokens", "used").collect()  # one row per source of targets
     weights = {r["source"]: r["used"] for r in plan}
-    block = sum(weights.values()) / slots if weights else 1.0
-    order = spark.createDataFrame([(s, j, i) for i, (s, j) in enumerate(schedule(weights, slots))], "source string, block bigint, slot bigint")  # SLOTS rows
-    limits = spark.createDataFrame([(r["source"], int(r["tokens"]), float(r["used"])) for r in plan], "source string, all_tokens bigint, used double")
+    periods = max(1, math.ceil(sum(weights.values()) / (block_tokens * slots))) if block_tokens else 1
+    planned = schedule(weights, slots)
+    order = spark.createDataFrame([(s, j, i) for i, (s, j) in enumerate(planned)], "source string, turn bigint, at bigint")  # SLOTS rows
+    blocks = Counter(s for s, _ in planned)  # of each source in a period
+    limits = spark.createDataFrame([(r["source"], int(r["tokens"]), float(r["used"]), blocks[r["source"]]) for r in plan], "source string, all_tokens bigint, used double, n_blocks bigint")
 
     n_docs = sizes.select("source").count()
     buckets = max(1, -(-n_docs // BUCKET_DOCS))
@@ -107,11 +115,12 @@ def mix(sizes: DataFrame, targets: DataFrame, slots: int = SLOTS, seed: int = 7)
     last = F.floor((F.col("used") - 1e-6 - F.col("_at")) / F.col("all_tokens"))  # last repeat that still begins inside the share
     return (
         placed.where(last >= 0)
-        .select("doc_id", "source", "tokens", "all_tokens", "_at", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("repeat"))
+        .select("doc_id", "source", "tokens", "all_tokens", "used", "n_blocks", "_at", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("repeat"))
         .withColumn("_offset", F.col("_at") + F.col("repeat") * F.col("all_tokens"))
-        .withColumn("block", F.floor(F.col("_offset") / F.lit(block)).cast("bigint"))
-        .join(F.broadcast(order), ["source", "block"], "left")
-        .select(F.coalesce("slot", F.lit(slots)).alias("slot"), F.col("_offset").alias("place"), "doc_id", "source", "repeat", "tokens")
+        .withColumn("_block", F.least(F.floor(F.col("_offset") * F.col("n_blocks") * periods / F.col("used")), F.col("n_blocks") * periods - 1))
+        .withColumn("turn", F.col("_block") % F.col("n_blocks"))
+        .join(F.broadcast(order), ["source", "turn"])
+        .select((F.floor(F.col("_block") / F.col("n_blocks")) * slots + F.col("at")).alias("slot"), F.col("_offset").alias("place"), "doc_id", "source", "repeat", "tokens")
     )
 
 

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import stored
+
 #: Size of the top compactor. The rank error falls about as 1/K.
 K = 1600
 
@@ -33,14 +35,15 @@ def once(df: DataFrame, *keep: str) -> DataFrame:
     return hashed.dropDuplicates(["_h1", "_h2"]).drop("_h1", "_h2")
 
 
-def usable(value: Column) -> Column:
-    """Null, NaN and negative values are left out."""
-    return value.isNotNull() & ~F.isnan(value) & (value >= 0)
+def usable(value: Column, least: float | None = None) -> Column:
+    """Null and NaN are left out, and so is what lies below least, if that is given."""
+    known = value.isNotNull() & ~F.isnan(value)
+    return known if least is None else known & (value >= least)
 
 
-def sketches(df: DataFrame, by: list[str], value: str, k: int = K) -> DataFrame:
-    """One sketch per group: by, sketch (BINARY), n. Rows whose value is null, NaN or negative are left out; a group without usable values has no row."""
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(usable(F.col("_v")))
+def sketches(df: DataFrame, by: list[str], value: str, k: int = K, least: float | None = None) -> DataFrame:
+    """One sketch per group: by, sketch (BINARY), n. Values that are null, NaN or below least are left out; a group without usable values has no row."""
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(usable(F.col("_v"), least))
     return rows.groupBy(*by).agg(F.kll_sketch_agg_double("_v", k).alias("sketch")).withColumn("n", F.kll_sketch_get_n_double("sketch"))
 
 
@@ -59,18 +62,20 @@ def percentiles(parts: DataFrame, qs: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)
     return parts.withColumn("rank_error", F.lit(e)).drop("sketch")
 
 
-def groups_above(df: DataFrame, by: list[str], value: str, q: float, threshold: float, k: int = K) -> DataFrame:
+def groups_above(df: DataFrame, by: list[str], value: str, q: float, threshold: float, k: int = K, least: float | None = None) -> DataFrame:
     """Groups whose exact q-th percentile (linear interpolation) exceeds threshold.
 
     The threshold's rank in the sketch decides most groups; those whose rank is
     within the error of q get an exact check, which needs only counts and the two values next
-    to the threshold, never the group's rows in one place. Group keys may be null.
+    to the threshold, never the group's rows in one place. Sketches toss coins, so the
+    ranks (a row per group) are kept: both decisions rest on the same ones. Group keys may
+    be null.
     """
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(usable(F.col("_v")))
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(usable(F.col("_v"), least))
     e = rank_error(k)
     # the share of values up to the threshold, within the sketch's error and the rank that interpolation may add
     slack = F.lit(2 * e) + 1.5 / F.col("n")
-    ranks = sketches(rows, by, "_v", k).select(*by, F.kll_sketch_get_rank_double("sketch", F.lit(float(threshold))).alias("_rank"), slack.alias("_slack"))
+    ranks = stored(sketches(rows, by, "_v", k).select(*by, F.kll_sketch_get_rank_double("sketch", F.lit(float(threshold))).alias("_rank"), slack.alias("_slack")), "ranks")
     sure = ranks.where(F.col("_rank") < q - F.col("_slack")).select(*by)
     open_ = ranks.where(F.abs(F.col("_rank") - q) <= F.col("_slack")).select(*[F.col(c).alias(f"_{c}") for c in by])
     same = [rows[c].eqNullSafe(open_[f"_{c}"]) for c in by]

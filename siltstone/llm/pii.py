@@ -30,7 +30,7 @@ from siltstone.session import stored
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 #: Hashed word counts of the name model.
-COUNTS = 1 << 18
+COUNTS = 1 << 20
 
 #: Words of one name, at most: longer runs are lists of names or headings.
 NAME_WORDS = 8
@@ -676,11 +676,8 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            open_ = ~pdf["settled"].to_numpy(dtype=bool)
-            made = pdf["made"].to_numpy(dtype=object, copy=True)
-            for i in np.flatnonzero(open_):
-                r = pdf.iloc[i]
-                made[i] = drawn_form(r["part"], r["name"], key, int(r["attempt"]), bool(r["vn"]), "f" if r["f"] and not r["m"] else "m" if r["m"] and not r["f"] else None)
+            columns = [pdf[c].tolist() for c in ("settled", "made", "part", "name", "attempt", "vn", "f", "m")]
+            made = [old if done else drawn_form(part, name, key, attempt, vn, "f" if f and not m else "m" if m and not f else None) for done, old, part, name, attempt, vn, f, m in zip(*columns, strict=True)]
             yield pdf.assign(made=made, form=[folded(x) if p in ("word", "token") else x for p, x in zip(pdf["part"], made, strict=True)])
 
     for _ in range(ROUNDS):

@@ -87,18 +87,18 @@ def p3_surrogates(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     rows = percentiles.once(table(spark, d, "triage_results"), *GROUPS, "latency_ms")
-    return percentiles.groups_above(rows, GROUPS, "latency_ms", 0.95, 3000.0)
+    return percentiles.groups_above(rows, GROUPS, "latency_ms", 0.95, 3000.0, least=0.0)
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
     rows = percentiles.once(table(spark, d, "triage_results"), *GROUPS, "latency_ms")
-    return percentiles.percentiles(percentiles.sketches(rows, GROUPS, "latency_ms"))
+    return percentiles.percentiles(percentiles.sketches(rows, GROUPS, "latency_ms", least=0.0))
 
 
 def p4_event_days(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per event, merged from the sketches of event and day."""
     rows = percentiles.once(table(spark, d, "triage_results"), "event", "ts", "latency_ms").withColumn("day", F.to_date(F.expr("try_cast(ts AS timestamp)")))
-    days = percentiles.sketches(rows, ["event", "day"], "latency_ms")
+    days = percentiles.sketches(rows, ["event", "day"], "latency_ms", least=0.0)
     return percentiles.percentiles(percentiles.merged(days, ["event"]))
 
 

@@ -65,3 +65,21 @@ def test_words():
     text = "Re-typed <b>wor</b>d&nbsp;x ÉTÉ đồng l'été co­op"
     words, spans = words_with_spans(text)
     assert words == ["retyped", "word", "x", "ete", "dong", "lete", "coop"] and text[slice(*spans[0])] == "Re-typed"
+
+
+def test_short_runs_beside_a_phrase_count(spark):
+    w = ITEM.split()
+    altered = w[2:22]
+    altered[4], altered[5] = "thing", "other"  # two in a row: a run of four before them
+    dropped = w[2:12] + w[13:24]
+    swapped = w[2:10] + w[12:20]
+    assert ids(spark, [" ".join(altered), " ".join(dropped), " ".join(swapped[:8]) + " and more of that kind " + " ".join(swapped[8:12])]) == {0, 1}
+
+
+def test_items_of_any_key_and_phrases_of_many_items(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"x {ITEM} y") for i in range(30)], "doc_id string, text string")
+    items = spark.createDataFrame([(f"i{k:03d}", ITEM) for k in range(120)], "item_id string, item_text string")
+    found = L.leaked_passages(docs, items)
+    assert found.select("doc_id", "item_id").distinct().count() == 30 * 120
+    spans = L.removal_spans(found).collect()
+    assert len(spans) == 30 and all(len(r["item_ids"]) == 120 for r in spans)

@@ -74,3 +74,22 @@ def test_short_sources_come_from_the_schedule(spark, monkeypatch):
     got = {r["source"]: r for r in M.short(sizes, targets, 50).collect()}
     assert got["small"]["given"] == 2 * 70 and got["small"]["blocks"] > 1 and got["absent"]["blocks"] == 0
     assert M.short(sizes.limit(0), targets).count() == 0 and M.short(sizes, targets.limit(0)).count() == 0
+
+
+def test_blocks_of_a_given_size(spark):
+    _, sizes, targets = data(spark)
+    out = M.mix(sizes, targets, slots=20, block_tokens=12.0)
+    rows = out.orderBy("slot", "place").collect()
+    plan = {r["source"]: r["used"] for r in M.supply(sizes, targets).collect() if r["used"] > 0}
+    total = sum(plan.values())
+    assert max(r["slot"] for r in rows) >= total / 12 * 0.8 and len(rows) == M.mix(sizes, targets, slots=20).count()
+    done = Counter()
+    for n, r in enumerate(rows):
+        done[r["source"]] += r["tokens"]
+        if n + 1 == len(rows) or rows[n + 1]["slot"] != r["slot"]:
+            so_far = sum(done.values())
+            assert all(abs(done[s] - used / total * so_far) <= 2 * 12 + 4 * 14 for s, used in plan.items())
+
+
+def test_every_source_gets_a_block():
+    assert {s for s, _ in M.schedule({"a": 1.0, "b": 1e-9, "c": 1e-9}, 50)} == {"a", "b", "c"}

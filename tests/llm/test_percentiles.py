@@ -39,9 +39,16 @@ def test_left_out_values_nulls_and_empty(spark):
     df = spark.createDataFrame([(None, 5000.0), (None, None), ("a", float("nan")), ("a", -1.0), ("b", 5000.0), ("b", -5.0)], "g string, v double")
     assert {r["g"] for r in P.groups_above(df, ["g"], "v", 0.95, 3000.0).collect()} == {None, "b"}
     assert P.groups_above(df.limit(0), ["g"], "v", 0.95, 3000.0).count() == 0
-    assert P.sketches(df.where("g = 'a'"), ["g"], "v").count() == 0
+    assert P.sketches(df.where("g = 'a'"), ["g"], "v", least=0.0).count() == 0
 
 
 def test_once(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, 1, "x"), (1, 1, "x")], "a int, b int, _h1 string").select("a", "b")
     assert P.once(df, "a").count() == 3
+
+
+def test_negative_values_count_unless_left_out(spark):
+    df = spark.createDataFrame([("a", float(v)) for v in range(-50, 51)] + [("a", float("nan")), ("a", None)], "g string, v double")
+    assert P.sketches(df, ["g"], "v").first()["n"] == 101 and P.sketches(df, ["g"], "v", least=0.0).first()["n"] == 51
+    assert P.percentiles(P.sketches(df, ["g"], "v"), (0.5,)).first()["p50"] == 0.0
+    assert P.groups_above(df, ["g"], "v", 0.5, -0.5).count() == 1 and P.groups_above(df, ["g"], "v", 0.5, 0.0).count() == 0
