@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -223,6 +223,16 @@ def hybrid(dense: DataFrame, lexical: DataFrame, k: int = 5, threshold: float =
     return out.join(other.select("query_id").distinct(), "query_id", "left_anti").unionByName(other)
 
 
+#: A search: (queries, number of results) to a ranked list query_id, id, score, rank.
+Search = Callable[[DataFrame, int], DataFrame]
+
+
+def hybrid_search(queries: DataFrame, dense: Search, lexical: Search, k: int | None = 5, threshold: float = 0.35, fallback: Search | None = None, rerank: bool = True, constant: int = 60) -> DataFrame:
+    """hybrid() over searches that are plugged in; each is asked for twice as many rows as wanted. k 0 or None means the default."""
+    k = default_k(k)
+    return hybrid(dense(queries, 2 * k), lexical(queries, 2 * k), k, threshold, fallback(queries, k) if fallback else None, rerank, constant)
+
+
 def overlap_rerank(ranked: DataFrame, query: str = "query_text", text: str = "content") -> DataFrame:
     """Orders a query's rows by the number of query tokens they hold; equal ones keep their order."""
     n = F.size(F.array_intersect(token_set(F.col(query)), token_set(F.col(text))))

@@ -51,22 +51,29 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(R.bm25_topk(_questions(spark, d), _kb(spark, d), 5))
 
 
-def _two_lists(spark: SparkSession, d: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
-    """The questions' best documents of the knowledge base by vectors and by keywords; a document without any keyword scores 0 and still has a place."""
-    questions, kb = _questions(spark, d), _kb(spark, d)
-    embedded = kb.withColumn("embedding", V.mock_embedding(F.coalesce("content", F.lit(""))))
-    dense = R.dense_topk(questions.withColumn("embedding", V.mock_embedding(F.col("query_text"))), embedded, k)
-    return dense, R.bm25_topk(questions, kb, k)
+def _dense(spark: SparkSession, d: str) -> R.Search:
+    """The questions' best documents of the knowledge base by vectors."""
+    embedded = _kb(spark, d).withColumn("embedding", V.mock_embedding(F.coalesce("content", F.lit(""))))
+    return lambda questions, k: R.dense_topk(questions.withColumn("embedding", V.mock_embedding(F.col("query_text"))), embedded, k)
+
+
+def _lexical(spark: SparkSession, d: str) -> R.Search:
+    """The same by keywords; a document without any keyword scores 0 and still has a place."""
+    return lambda questions, k: R.bm25_topk(questions, _kb(spark, d), k)
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Questions whose best vector scores below 0.36 fall back to keywords."""
+    return R.hybrid_search(_questions(spark, d), _dense(spark, d), _lexical(spark, d), 0, 0.36, _lexical(spark, d))
 
 
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return R.reciprocal_rank_fusion(list(_two_lists(spark, d)), 5).withColumn("score", F.round("score", 9))
+    questions = _questions(spark, d)
+    return R.reciprocal_rank_fusion([_dense(spark, d)(questions, 10), _lexical(spark, d)(questions, 10)], 5).withColumn("score", F.round("score", 9))
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Questions whose best vector scores below 0.36 fall back to keywords."""
-    dense, lexical = _two_lists(spark, d)
-    return R.hybrid(dense, lexical, 5, 0.36, lexical).withColumn("score", F.round("score", 6))
+    return _hybrid(spark, d).withColumn("score", F.round("score", 6))
 
 
 def _with_content(ranked: DataFrame, spark: SparkSession, d: str) -> DataFrame:
@@ -76,16 +83,15 @@ def _with_content(ranked: DataFrame, spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_rag(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: keyword and dense search over the knowledge base fused, with a fallback, reordered, cited and answered."""
-    dense, lexical = _two_lists(spark, d)
-    ranked = _with_content(R.hybrid(dense, lexical, 5, 0.36, lexical), spark, d)
+    ranked = _with_content(_hybrid(spark, d), spark, d)
     out = A.grounded(_questions(spark, d), ranked, models.answerer(models.mock_model))
     return out.select("query_id", "answer", F.array_join(F.transform("sources", lambda x: x["id"]), ",").alias("sources"), "retrieval_source")
 
 
 def dense_rag(spark: SparkSession, d: str) -> DataFrame:
     """Dense search with a minimum score, numbered contexts, prompt and model; questions without a good chunk say so."""
-    dense, _ = _two_lists(spark, d, 3)
-    out = A.answered(_questions(spark, d), _with_content(dense, spark, d), models.answerer(models.mock_model), min_score=0.42)
+    ranked = _with_content(_dense(spark, d)(_questions(spark, d), 3), spark, d)
+    out = A.answered(_questions(spark, d), ranked, models.answerer(models.mock_model), min_score=0.42)
     return out.select("query_id", "n_chunks", F.length("prompt").alias("n_prompt"), F.md5("prompt").alias("digest"), "answer", "error")
 
 

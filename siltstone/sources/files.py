@@ -154,7 +154,7 @@ def write_report(df: DataFrame, path: str, form: str = "json") -> None:
 
 def percent(c: Column) -> Column:
     """A share as text with two digits: 12.34%."""
-    return F.format_string("%.2f%%", c.cast("double") * 100)
+    return F.when(c.isNotNull(), F.format_string("%.2f%%", F.coalesce(c.cast("double"), F.lit(0.0)) * 100))
 
 
 def log_experiment(metrics: DataFrame, path: str, shares: tuple[str, ...], columns: tuple[str, ...]) -> None:
@@ -187,7 +187,7 @@ def gate_markdown(results: DataFrame) -> str:
 
 def freshness_markdown(fresh: DataFrame) -> str:
     """Freshness figures; an unknown median is 'N/A'."""
-    shown = [F.col("n").alias("Rows"), F.col("n_stale").alias("Stale"), percent(F.col("stale_ratio")).alias("Stale share"), F.coalesce(F.format_string("%.1f", F.col("median_age_days")), F.lit("N/A")).alias("Median age (days)"), status(F.col("is_fresh")).alias("Status")]
+    shown = [F.col("n").alias("Rows"), F.col("n_stale").alias("Stale"), percent(F.col("stale_ratio")).alias("Stale share"), F.when(F.col("median_age_days").isNull(), "N/A").otherwise(F.format_string("%.1f", F.coalesce("median_age_days", F.lit(0.0)))).alias("Median age (days)"), status(F.col("is_fresh")).alias("Status")]
     keys = [F.col(c) for c in fresh.columns if c not in ("n", "n_valid", "n_stale", "stale_ratio", "is_fresh", "min_age_days", "max_age_days", "median_age_days")]
     return markdown_table(fresh.select(*keys, *shown))
 

@@ -1,10 +1,13 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import models as MO
 from siltstone.sources import files, logs, store
+from siltstone.sources import files as FS
+from siltstone.sources import store as ST
 from siltstone.streaming import operators as S
 
 
@@ -95,3 +98,53 @@ def test_held_alerts(spark, tmp_path):
     stream = S.held_alerts(spark.readStream.schema("s string, at timestamp, bad boolean").parquet(str(tmp_path / "in")), "s", "at", "bad", 60, 180)
     S.run_available(stream, lambda df, n: got.extend(df.collect()), str(tmp_path / "state")).awaitTermination()
     assert [(r["series"], r["run_start"].minute, r["fired_at"].minute) for r in got] == [("a", 0, 2)]
+
+
+def test_corpus_by_manifest(spark, tmp_path):
+    import json
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.md").write_text("one")
+    (tmp_path / "b.txt").write_text("two")
+    (tmp_path / "c.bin").write_text("no")
+    found = FS.load_corpus(spark, str(tmp_path))
+    assert {(r["path"], r["text"]) for r in found.collect()} == {("a/x.md", "one"), ("b.txt", "two")}
+    (tmp_path / "manifest.json").write_text(json.dumps({"documents": [{"path": "a/./x.md"}, "c.bin"]}))
+    assert {(r["path"], r["text"], r["fault"]) for r in FS.load_corpus(spark, str(tmp_path)).collect()} == {("a/./x.md", "one", None), ("c.bin", "no", None)}
+    (tmp_path / "manifest.json").write_text(json.dumps({"documents": ["../b.txt", "a/../../b.txt", "/etc/x", "gone.md", "a/../b.txt"]}))
+    faults = {r["path"]: r["fault"] for r in FS.load_corpus(spark, str(tmp_path), strict=False).collect()}
+    assert faults["../b.txt"] == faults["a/../../b.txt"] == faults["/etc/x"] == "escapes" and faults["gone.md"] == "missing"
+    with pytest.raises(ValueError, match="escapes"):
+        FS.load_corpus(spark, str(tmp_path))
+    digests = {r["name"]: r["digest"] for r in FS.file_manifest(spark, str(tmp_path), ["b.txt", "none"]).collect()}
+    assert digests["none"] == "missing" and len(digests["b.txt"]) == 12
+
+
+def test_snapshots_are_written_once(spark, tmp_path):
+    calls = []
+    fetch = lambda: calls.append(1) or spark.range(3)
+    path = str(tmp_path / "raw")
+    assert FS.fetched(spark, path, fetch).count() == FS.fetched(spark, path, fetch).count() == 3 and len(calls) == 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        FS.snapshot(spark.range(1), path)
+
+
+def test_reports(spark):
+    from siltstone.operators import quality as Q
+
+    df = spark.createDataFrame([(1, "x|y"), (1, None)], "id int, t string")
+    gate = FS.gate_markdown(Q.quality_gate(df, Q.GateRules(1, 5, ("t",), ("id",))))
+    assert gate.count("❌ Fail") == 2 and gate.count("✅ Pass") == 1
+    fresh = Q.freshness(spark.createDataFrame([(None,)], "ts timestamp"), "ts", F.lit("2024-01-01"))
+    assert "N/A" in FS.freshness_markdown(fresh) and "100.00%" in FS.freshness_markdown(fresh)
+    assert "❌ Fail" in FS.evaluation_markdown(spark.createDataFrame([(0.5, None)], "a double, b double"), {"a": 0.4, "b": 0.1})
+    assert "x\\|y" in FS.markdown_table(df) and FS.markdown_table(df, 1).endswith("more than 1 rows")
+
+
+def test_upsert_takes_the_newest_change(spark):
+    store = spark.createDataFrame([("a", "old", 0), ("b", "kept", 0)], "id string, content string, version int")
+    changes = spark.createDataFrame([("a", "new", 2), ("a", "newer", 3), ("a", "older", 1), ("c", "x", 1), ("c", "y", 1)], "id string, content string, version int")
+    for part in (1, 5):
+        got = {(r["id"], r["content"]) for r in ST.upsert(store, changes.repartition(part), version="version").collect()}
+        assert got == {("a", "newer"), ("b", "kept"), ("c", "y")}
+    assert ST.append(store, changes.where("id = 'a'")).count() == 5 and ST.size(store).first()["n_ids"] == 2
