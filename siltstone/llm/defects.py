@@ -251,7 +251,7 @@ def fit_corpus(pairs: DataFrame) -> Corpus:
     cells = pairs.select("question", "answer").mapInPandas(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     flat = np.zeros(len(names) * COUNTS, dtype=np.int64)
     flat[cells["cell"].to_numpy(dtype=np.int64)] = cells["n"].to_numpy(dtype=np.int64)
-    return Corpus(*flat.reshape(len(names), COUNTS))
+    return Corpus(*np.minimum(flat, np.iinfo(np.int32).max).astype(np.int32).reshape(len(names), COUNTS))  # goes to every task
 
 
 def expected_language(question: str, own: str) -> str:

@@ -89,3 +89,18 @@ def groups_above(df: DataFrame, by: list[str], value: str, q: float, threshold:
         .select(*by)
     )
     return sure.unionByName(exact)
+
+
+def held_bounds(df: DataFrame, estimates: DataFrame, by: list[str], value: str, qs: tuple[float, ...], error: float, least: float | None = None) -> DataFrame:
+    """Per group: n, and for each percentile of estimates (columns pXX) whether its true rank among df's values is within error of q.
+
+    A check by counts: the estimates (a row per group) meet the rows, which are summed
+    before they move. The rank of a value that repeats is any of its places.
+    """
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(usable(F.col("_v"), least))
+    names = [f"p{q * 100:g}".replace(".", "_") for q in qs]
+    known = estimates.select(*[F.col(c).alias(f"_{c}") for c in by], *[F.col(x).alias(f"_{x}") for x in names])
+    joined = rows.join(known, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    counts = joined.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("_v") < F.col(f"_{x}")).alias(f"_lo_{x}") for x in names], *[F.count_if(F.col("_v") <= F.col(f"_{x}")).alias(f"_hi_{x}") for x in names])
+    inside = [((F.col(f"_lo_{x}") / F.col("n") <= q + error) & (F.col(f"_hi_{x}") / F.col("n") >= q - error)).alias(f"{x}_holds") for q, x in zip(qs, names, strict=True)]
+    return counts.select(*by, "n", *inside)
