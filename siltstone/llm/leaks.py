@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.words import words_with_spans
+from siltstone.llm.words import folded, raw_words, words_with_spans
 
 #: Words of one index: a shard of a task's rows. A longer text gets a shard of its own.
 SHARD_WORDS = 400_000
@@ -152,6 +152,20 @@ class Items:
         return max(1, len(self.number).bit_length())
 
 
+class _Numbers(dict):
+    """Numbers of words as they stand in a text, each folded once: 0 for words of no item, -1 for what folds to nothing."""
+
+    def __init__(self, number: dict[str, int]) -> None:
+        self.number = number
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        w = folded(word)
+        self[word] = n = self.number.get(w, 0) if w else -1
+        return n
+
+
 def _clean_windows(hit: np.ndarray, p: Passage) -> np.ndarray:
     """Marks the positions of windows of at least p.words of which at most one in ten is no hit."""
     inside = np.zeros(len(hit), dtype=bool)
@@ -166,6 +180,10 @@ def _clean_windows(hit: np.ndarray, p: Passage) -> np.ndarray:
 def passages(doc: np.ndarray, item: np.ndarray, diagonals: set[int], p: Passage) -> list[tuple[int, int]]:
     """Spans (word positions of doc) of passages. Sentences may have changed places, so stretches of several diagonals add up."""
     found = np.full(len(item), -1, dtype=np.int64)
+    at = np.add.outer(np.array(sorted({d + k for d in diagonals for k in range(-p.shift, p.shift + 1)})), np.arange(len(item)))
+    held = ((at >= 0) & (at < len(doc)) & (doc[np.clip(at, 0, len(doc) - 1)] == item)).any(0)
+    if held.sum() < p.words - p.words // 10:  # too few words in common for any passage
+        return []
     near = sorted({d + k for d in diagonals for k in range(-p.shift, p.shift + 1)} - diagonals)
     for least, some in ((p.phrase, sorted(diagonals)), (p.seed, sorted(diagonals)), (p.seed, near)):  # whole phrases first, then shorter runs beside them
         for d in some:
@@ -183,8 +201,8 @@ def passages(doc: np.ndarray, item: np.ndarray, diagonals: set[int], p: Passage)
     return [(int(x[0]), int(x[-1]) + 1) for x in np.split(at, cuts)]
 
 
-def search_shard(ids: list, docs: list[tuple[np.ndarray, list[tuple[int, int]]]], items: Items, p: Passage) -> Iterator[tuple]:
-    """(doc id, item id, start, end) in code points for the documents of one shard."""
+def search_shard(ids: list, docs: list[tuple[np.ndarray, str]], items: Items, p: Passage) -> Iterator[tuple]:
+    """(doc id, item id, start, end) in code points for the documents of one shard, each given by its words' numbers and its text. Places are worked out for documents with a passage only."""
     starts, pieces, at = [], [], 0
     for numbers, _ in docs:
         starts.append(at)
@@ -208,8 +226,10 @@ def search_shard(ids: list, docs: list[tuple[np.ndarray, list[tuple[int, int]]]]
                 diagonals[d, item].add(diagonal)
         start = max(start, min(stop, len(number)))
     for (doc, item), ds in diagonals.items():
-        numbers, spans = docs[doc]
-        for a, b in passages(numbers, items.texts[item], ds, p):
+        numbers, text = docs[doc]
+        found = passages(numbers, items.texts[item], ds, p)
+        spans = words_with_spans(text)[1] if found else []
+        for a, b in found:
             yield ids[doc], items.ids[item], spans[a][0], spans[b - 1][1]
 
 
@@ -236,16 +256,15 @@ def leaked_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
             known = Items.of(shared.value, p)
             columns = ["doc_id", "item_id", "start_pos", "end_pos"]
             ids, shard, size = [], [], 0
-            get = known.number.get
+            numbered = _Numbers(known.number)
             for pdf in batches:
                 for i, t in zip(pdf["id"].tolist(), pdf["text"].tolist(), strict=True):
-                    words, spans = words_with_spans(t)
-                    numbers = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
+                    numbers = np.array([n for n in map(numbered.__getitem__, raw_words(t)) if n >= 0], dtype=np.int64)
                     if size and size + len(numbers) > shard_words:
                         yield pd.DataFrame(search_shard(ids, shard, known, p), columns=columns)
                         ids, shard, size = [], [], 0
                     ids.append(i)
-                    shard.append((numbers, spans))
+                    shard.append((numbers, t))
                     size += len(numbers) + 1
             yield pd.DataFrame(search_shard(ids, shard, known, p), columns=columns)
 

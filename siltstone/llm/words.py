@@ -32,12 +32,19 @@ def _blank(m: re.Match) -> str:
     return m[0] if inner and inside else " " * len(m[0])
 
 
+def _plain(text: str) -> str:
+    return _SKIP.sub(_blank, text) if "<" in text or "&" in text else text
+
+
+def raw_words(text: str) -> list[str]:
+    """The words of a text as they stand there; those that fold to nothing are among them."""
+    return _WORD.findall(_plain(text))
+
+
 def words_with_spans(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """Folded words and their places (code points, end exclusive) in the whole text."""
-    if "<" in text or "&" in text:
-        text = _SKIP.sub(_blank, text)
     out, spans = [], []
-    for m in _WORD.finditer(text):
+    for m in _WORD.finditer(_plain(text)):
         w = folded(m[0])
         if w:
             out.append(w)
