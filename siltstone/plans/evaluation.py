@@ -13,6 +13,7 @@ from siltstone.operators import evaluation as E
 from siltstone.operators import quality as Q
 from siltstone.operators import toolcalls as TC
 from siltstone.session import stored, table
+from siltstone.sources import files as FS
 from siltstone.sources import store as ST
 
 REFERENCE = "2000-01-01 00:00:00"
@@ -129,6 +130,17 @@ def pipeline_report(spark: SparkSession, d: str) -> DataFrame:
     return E.pipeline_report(rows.join(cases, "test_id"), by=["category"])
 
 
+def report_json(spark: SparkSession, d: str) -> DataFrame:
+    """The stored scores per category as JSON, relevance with two digits."""
+    return FS.serialized(_stored(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("faithfulness").alias("faithfulness"), F.avg("relevance").alias("relevance"), F.max(F.when(F.col("category") == "ops", "yes")).alias("ops")), 4, {"relevance": 2})
+
+
+def gate_report(spark: SparkSession, d: str) -> DataFrame:
+    """The gate's Markdown report, line by line."""
+    lines = FS.gate_markdown(document_gate(spark, d)).split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "line int, text string")
+
+
 def context_report(spark: SparkSession, d: str) -> DataFrame:
     return E.context_report(E.exact_context_scores(_samples(spark, d), "expected_answer", "retrieved_contexts"), by=["category"])
 
@@ -283,7 +295,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexical_scores, context_scores, summary_by_category, answer_f1, answer_bags, golden_faults, golden_questions, category_strata, judge_biases, judge_parse, failure_log, failure_types, remedies, release_gate, judge_ab,
-        pipeline_report, context_report, id_overlap, document_gate, gate_verdict, document_check, order_freshness, fault_sample, fault_plan, fault_report, latest_dropped, repair_audit, audit_states, replay_result, quarantined,
+        pipeline_report, report_json, gate_report, context_report, id_overlap, document_gate, gate_verdict, document_check, order_freshness, fault_sample, fault_plan, fault_report, latest_dropped, repair_audit, audit_states, replay_result, quarantined,
         newest_documents, store_changes, store_size, prompt_versions, tool_grades, tool_failures,
     )
 }
@@ -480,4 +492,13 @@ SELECT id AS name, version::INTEGER AS version, md5(coalesce(c, '')) AS digest F
 UNION ALL SELECT 'spare', 0, md5('Answer briefly.')
 """,
 }
+SQL["report_json"] = _SCORED + """
+, m AS (SELECT category, count(*) AS n, round(avg(f), 4) AS f, round(avg(r), 2) AS r FROM s GROUP BY 1)
+SELECT '{"category":"' || category || '","n":' || n || ',"faithfulness":' || f::VARCHAR || ',"relevance":' || r::VARCHAR || CASE WHEN category = 'ops' THEN ',"ops":"yes"}' ELSE '}' END AS json FROM m
+"""
+SQL["gate_report"] = f"""
+WITH g AS (SELECT *, row_number() OVER (ORDER BY passed, severity, rule, column_name NULLS FIRST) AS k FROM ({SQL["document_gate"]}))
+SELECT 1 AS line, '| Rule | Column | Severity | Status | Observed |' AS text UNION ALL SELECT 2, '| --- | --- | --- | --- | --- |'
+UNION ALL SELECT (k + 2)::INTEGER, '| ' || rule || ' | ' || coalesce(column_name, '-') || ' | ' || severity || ' | ' || CASE WHEN passed THEN '✅ Pass' ELSE '❌ Fail' END || ' | ' || observed || ' |' FROM g
+"""
 SQL["gate_verdict"] = SQL["gate_verdict"].replace("{document_gate}", SQL["document_gate"])

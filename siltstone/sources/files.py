@@ -175,6 +175,13 @@ def markdown_table(df: DataFrame, most: int = 200) -> str:
     return "\n".join(lines + ([f"more than {most} rows"] if len(rows) > most else []))
 
 
+def serialized(df: DataFrame, digits: int = 4, own: dict[str, int] | None = None) -> DataFrame:
+    """One JSON object per row, column json: numbers with fractions rounded to ``digits`` (or a column's own number of digits), nulls left out."""
+    own = own or {}
+    shown = [F.round(F.col(f"`{c}`"), own.get(c, digits)).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes]
+    return df.select(F.to_json(F.struct(*shown)).alias("json"))
+
+
 def status(c: Column) -> Column:
     return F.when(c, "✅ Pass").otherwise("❌ Fail")
 
