@@ -88,11 +88,13 @@ def orphan_references(refs: DataFrame, parents: DataFrame, id_col: str = "id", c
         .where(F.col("key").isNotNull())
         .select("key", "first_ref", F.coalesce(F.col("_end") < F.col("_number"), F.lit(True)).alias("is_missing"))
     )
-    # keys beyond their run need no parent; of the others only those of parents that are deleted or dated can fail
-    missing = matched.where("is_missing").select("key", "is_missing", F.lit(False).alias("is_deleted"), F.lit(None).cast("double").alias("first_seen"))
+    # only parents that are deleted or dated can make a reference fail that is inside a run
     able = states.where(F.col("is_deleted") | F.col("first_seen").isNotNull())
-    there = matched.where(~F.col("is_missing")).join(able, "key").where(F.col("is_deleted") | (F.col("first_seen") > F.col("first_ref"))).select("key", "is_missing", "is_deleted", "first_seen")
-    failing = missing.unionByName(there).select(F.col("key").alias("ref_id"), "is_missing", "is_deleted", "first_seen", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    failing = (
+        matched.join(able, "key", "left")
+        .where(F.col("is_missing") | F.col("is_deleted") | (F.col("first_seen") > F.col("first_ref")))
+        .select(F.col("key").alias("ref_id"), "is_missing", "is_deleted", "first_seen", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    )
     reason = F.when(F.col("is_missing"), "missing").when(F.col("is_deleted"), "deleted").when(F.col("first_seen") > seconds, "late")
     return (
         rows.withColumn("_salt", F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int"))
