@@ -105,3 +105,40 @@ def test_recall_with_many_region_levels(spark):
     want = set(zip(a.tolist(), b.tolist(), strict=True))
     have = {tuple(sorted((int(r["id"][1:]), int(r["neighbour"][1:])))) for r in near}
     assert len(have & want) >= 0.97 * len(want) and have <= want
+
+
+def test_visitors_take_turns_in_copies(spark):
+    x = planted(3000, 400)
+    s = nb.Settings(k=5, min_similarity=0.85, region_rows=500, visitors=150)
+    df = frame(spark, x)
+    assert nb._regions(nb._usable(df, "id", "embedding", s), None, s).copies.max() > 1
+    pairs = {(int(r["id"][1:]), int(r["neighbour"][1:])) for r in nb.nearest(df, "id", "embedding", s).collect()}
+    want = brute(x, 5, 0.85)
+    assert len(pairs & want) >= 0.97 * len(want) and pairs <= want
+
+
+def test_general_recall_through_regions(spark):
+    x = planted(4000, 0, seed=5)
+    df = frame(spark, x)
+    s = nb.Settings(k=10, region_rows=600, visitors=3000)
+    every = {(int(r["id"][1:]), int(r["neighbour"][1:])) for r in nb.nearest(df, "id", "embedding", s).collect()}
+    want = brute(x, 10)
+    assert len(every) == 40_000 and len(every & want) >= 0.9 * len(want)
+    some = {(int(r["id"][1:]), int(r["neighbour"][1:])) for r in nb.nearest(df, "id", "embedding", s, df.where(F.col("rank") % 50 == 0)).collect()}
+    want = {p for p in want if p[0] % 50 == 0}
+    assert len(some) == 800 and len(some & want) >= 0.9 * len(want)
+
+
+def test_similarities_at_the_edge_are_exact(spark):
+    rng = np.random.default_rng(9)
+    a = rng.standard_normal((400, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.standard_normal((400, 64))
+    b -= (a * b).sum(1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    c = 0.85 + np.linspace(-4e-5, 4e-5, 400)[:, None]  # cosines that codes of 16 bits leave open
+    x = np.vstack((a, c * a + np.sqrt(1 - c * c) * b)).astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    want = {i for i in range(400) if u[i] @ u[400 + i] >= 0.85}
+    got = {int(r["id"][1:]) for r in nb.nearest(frame(spark, x), "id", "embedding", nb.Settings(k=3, min_similarity=0.85)).collect() if int(r["id"][1:]) < 400}
+    assert got <= want and len(got) >= 0.92 * len(want) and 150 < len(want) < 250  # what is missing was not visited
