@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import canonical, casefold, entropy, is_blank
+from siltstone.functions.text import canonical, casefold, entropy
 
 #: Signs of an attempt to get around instructions, in this order.
 INPUT_PATTERNS = (

@@ -225,6 +225,30 @@ def audit_states(spark: SparkSession, d: str) -> DataFrame:
     return X.audit({"clean": look(orders), "corrupted": look(broken), "repaired": look(repaired)})
 
 
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    """The audit's Markdown report, line by line."""
+    lines = FS.audit_markdown(audit_states(spark, d)).split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "line int, text string")
+
+
+def improvement_log(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown lines of the failures of one category that are hallucinations."""
+    rows = stored(_stored(spark, d), "scores").where((F.col("category") == "ops") & (F.col("faithfulness") < 0.1))
+    cause = M.root_cause(*[F.col(c) for c in ("faithfulness", "relevance", "completeness", "context_recall", "context_precision")], F.lit(None))
+    lines = FS.improvement_markdown(E.numbered_failures(rows.withColumn("root_cause", cause), "result_id"), "result_id").split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "line int, text string")
+
+
+def judge_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts that ask a judge for scores, and what a plugged-in embedding model makes of them."""
+    cases = table(spark, d, "eval_cases").select(F.col("id").alias("test_id"), "question", "ground_truth_answer").distinct()
+    rows = table(spark, d, "eval_test_results").select("result_key", "test_id", "predicted_answer").distinct().join(cases, "test_id")
+    prompt = models.judge_prompt(F.col("question"), F.col("predicted_answer"), F.col("ground_truth_answer"), ["accuracy", "tone"])
+    embed = models.embedder(lambda: lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts])
+    out = rows.select("result_key", prompt.alias("prompt")).withColumn("v", embed(F.col("prompt")))
+    return out.select("result_key", F.md5("prompt").alias("digest"), F.col("v")[0].alias("n_chars"), F.col("v")[1].alias("n_blanks"))
+
+
 def replay_result(spark: SparkSession, d: str) -> DataFrame:
     """The corrupted orders replayed into a store that holds them: cleaned of repeats and blanks, through the gate, twice."""
     orders, broken = _broken(spark, d)
@@ -295,7 +319,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexical_scores, context_scores, summary_by_category, answer_f1, answer_bags, golden_faults, golden_questions, category_strata, judge_biases, judge_parse, failure_log, failure_types, remedies, release_gate, judge_ab,
-        pipeline_report, report_json, gate_report, context_report, id_overlap, document_gate, gate_verdict, document_check, order_freshness, fault_sample, fault_plan, fault_report, latest_dropped, repair_audit, audit_states, replay_result, quarantined,
+        pipeline_report, report_json, gate_report, context_report, id_overlap, document_gate, gate_verdict, document_check, order_freshness, fault_sample, fault_plan, fault_report, latest_dropped, repair_audit, audit_states, audit_report, improvement_log, judge_prompts, replay_result, quarantined,
         newest_documents, store_changes, store_size, prompt_versions, tool_grades, tool_failures,
     )
 }
@@ -501,4 +525,20 @@ WITH g AS (SELECT *, row_number() OVER (ORDER BY passed, severity, rule, column_
 SELECT 1 AS line, '| Rule | Column | Severity | Status | Observed |' AS text UNION ALL SELECT 2, '| --- | --- | --- | --- | --- |'
 UNION ALL SELECT (k + 2)::INTEGER, '| ' || rule || ' | ' || coalesce(column_name, '-') || ' | ' || severity || ' | ' || CASE WHEN passed THEN '✅ Pass' ELSE '❌ Fail' END || ' | ' || observed || ' |' FROM g
 """
+_MARK = "CASE WHEN {c} THEN '✅ Pass' ELSE '❌ Fail' END"
+SQL["audit_report"] = f"""
+SELECT 1 AS line, '| State | Rows | Quality gate | Freshness | Restored |' AS text UNION ALL SELECT 2, '| --- | --- | --- | --- | --- |'
+UNION ALL SELECT CASE state WHEN 'clean' THEN 3 WHEN 'corrupted' THEN 4 ELSE 5 END, '| ' || state || ' | ' || n_rows || ' | ' || {_MARK.format(c="quality_passed")} || ' | ' || {_MARK.format(c="freshness_passed")} || ' | ' || CASE WHEN quality_restored THEN '✅ Restored' ELSE '' END || ' |' FROM ({SQL["audit_states"]})
+"""
+SQL["improvement_log"] = SQL["failure_log"].replace("WHERE kind IS NOT NULL)", "WHERE kind IS NOT NULL AND category = 'ops' AND f < 0.1)")
+_ROWS = SQL["improvement_log"]
+SQL["improvement_log"] = f"""
+SELECT 1 AS line, '| Failure ID | Sample ID | Type | Root Cause Diagnosis | Recommended Fix | Status |' AS text UNION ALL SELECT 2, '| --- | --- | --- | --- | --- | --- |'
+UNION ALL SELECT (row_number() OVER (ORDER BY failure_id) + 2)::INTEGER, '| ' || failure_id || ' | ' || result_id || ' | `' || failure_type || '` | ' || cause || ' | ' || action || ' | Open |' FROM ({_ROWS})
+"""
+SQL["judge_prompts"] = """
+WITH c AS (SELECT DISTINCT id AS test_id, question AS q, ground_truth_answer AS g FROM eval_cases), r AS (SELECT DISTINCT result_key, test_id, predicted_answer AS a FROM eval_test_results),
+p AS (SELECT result_key, 'Question: ' || coalesce(q, '') || chr(10) || 'Expected: ' || coalesce(g, '') || chr(10) || 'Answer: ' || coalesce(a, '') || chr(10) || 'Reply with one JSON object: {"accuracy": 1-5, "tone": 1-5}' AS p FROM r JOIN c USING (test_id))
+SELECT result_key, md5(p) AS digest, length(p)::DOUBLE AS n_chars, (length(p) - length(replace(p, ' ', '')))::DOUBLE AS n_blanks FROM p
+"""
 SQL["gate_verdict"] = SQL["gate_verdict"].replace("{document_gate}", SQL["document_gate"])
