@@ -115,14 +115,6 @@ def ngrams_by_order(pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]
             yield (mixed >> np.uint64(47)).astype(np.int64)[same], owner[: len(h)][same]
 
 
-def ngram_ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every n-gram of every piece, and the piece that each belongs to."""
-    parts = list(ngrams_by_order(pieces))
-    if not parts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return tuple(map(np.concatenate, zip(*parts, strict=True)))
-
-
 def groups(pieces: list[str], limit: int = 300_000) -> Iterator[slice]:
     """Runs of pieces of together about limit characters, so that the n-grams of a batch never stand in memory at once."""
     start = size = 0
