@@ -33,7 +33,7 @@ SPACE = 1 << 16
 #: Pairs that the classifier is fitted on, at most; everything else covers all rows.
 SAMPLE = 4_000
 #: Hashed word and word-pair counts of the corpus.
-COUNTS = 1 << 20
+COUNTS = 1 << 19
 #: Lowest threshold tried for a label; 0.3 for the others. Clean answers can share the words of refusals.
 RANGE = {"refusal": 0.5}
 #: Pairs that are looked at together in a task.
